@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifmill.llm import curriculum, licenses, quality
+from motifmill.llm import bitplane, bm25, chosenpath, curriculum, hpylm, licenses, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hpylm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score(_table(spark, sf_dir, "documents"))
+
+
+def op2_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitplane.round_trip(_table(spark, sf_dir, "documents"))
+
+
+def op4_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum.mix(_table(spark, sf_dir, "documents"))
     first = F.round(F.get("positions", F.lit(0)), 6)
@@ -21,6 +33,10 @@ def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
+def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosenpath.join(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
@@ -31,7 +47,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_curriculum_mix, op9_quality_rules, op10_license_scan)}
+    return {f.__name__: f for f in (op1_hpylm_score, op2_bitplane_ids, op4_bm25_decontamination, op5_curriculum_mix, op8_chosen_path_join, op9_quality_rules, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

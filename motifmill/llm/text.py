@@ -58,8 +58,12 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def words(col: pa.Array, lower: bool = False, slice_bytes: int = SLICE_BYTES):
-    """Slices of the rows: (first row, word offsets of its rows, word hashes)."""
+#: White space and punctuation: all of ASCII but 0-9, A-Z and a-z.
+PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+
+
+def words(col: pa.Array, lower: bool = False, slice_bytes: int = SLICE_BYTES, gaps: np.ndarray = _SPACE):
+    """Slices of the rows: (first row, word offsets of its rows, word hashes). gaps: the bytes that words don't have."""
     if not len(col):
         return
     data, offsets = buffers(col)
@@ -69,15 +73,15 @@ def words(col: pa.Array, lower: bool = False, slice_bytes: int = SLICE_BYTES):
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + slice_bytes, "right")) - 1)
         at = offsets[row : end + 1] - offsets[row]
         raw = data[offsets[row] : offsets[end]]
-        yield row, *_hash(raw, at, table)
+        yield row, *_hash(raw, at, table, gaps)
         row = end
 
 
-def _hash(raw: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash(raw: np.ndarray, at: np.ndarray, table: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(raw)
     if not n:
         return np.zeros(len(at), np.int64), np.zeros(0, U64)
-    space = _SPACE[raw]
+    space = gaps[raw]
     edge = np.zeros(n + 1, bool)  # no word goes across these places
     edge[at] = True
     before = np.empty(n, bool)
