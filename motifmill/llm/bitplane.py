@@ -14,12 +14,13 @@ number of planes (u32), ids per block (u32), one (offset u64, size u32, 4 zero b
 from __future__ import annotations
 
 import functools
-import re
+import string
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,9 +50,11 @@ def pack(ids: np.ndarray, plane_bits: int = 1, block: int = BLOCK, level: int =
     padded[:n] = ids
     compressor = zstandard.ZstdCompressor(level=level)
     chunks = []
+    low = np.zeros(0, np.uint8)
     for j in range(planes):
-        plane = (padded >> np.uint32(j * plane_bits)).astype(np.uint8)
-        raw = np.packbits(plane & 1, bitorder="little") if plane_bits == 1 else plane
+        if j * plane_bits % 8 == 0:
+            low = np.ascontiguousarray(padded.view(np.uint8)[j * plane_bits // 8 :: 4])  # this byte of all ids
+        raw = np.packbits(low & np.uint8(1 << j % 8), bitorder="little") if plane_bits == 1 else low
         chunks.append(compressor.compress(raw.tobytes()))
     at = _HEAD.size + _ENTRY.size * planes
     index = []
@@ -70,12 +73,19 @@ def unpack(payload: bytes) -> np.ndarray:
         raise ValueError("not a bit-plane payload")
     size = -(-n // block) * block
     out = np.zeros(size, "<u4")
+    octets = out.view(np.uint8)
     decompressor = zstandard.ZstdDecompressor()
     for j in range(planes):
         at, length = _ENTRY.unpack_from(payload, _HEAD.size + j * _ENTRY.size)
         raw = np.frombuffer(decompressor.decompress(payload[at : at + length]), np.uint8)
-        plane = np.unpackbits(raw, bitorder="little") if plane_bits == 1 else raw
-        out |= plane.astype("<u4") << np.uint32(j * plane_bits)
+        if plane_bits == 8:
+            octets[j::4] = raw
+            continue
+        if j % 8 == 0:
+            low = np.zeros(size, np.uint8)
+        low |= np.unpackbits(raw, bitorder="little") << np.uint8(j % 8)
+        if j % 8 == 7 or j == planes - 1:
+            octets[j // 8 :: 4] = low
     return out[:n]
 
 
@@ -85,74 +95,94 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Pieces between these characters are encoded one by one; the tokenizer drops white space.
-_GAPS = re.compile(r"[ \t\n\x0b\x0c\r]+")
-_PLAIN = re.compile(r"([A-Za-z]+)([.,])")
-
-
 class Encoder:
     """Encodes whole texts with the tokenizers library, remembering the ids of white-space separated pieces.
 
-    This suits tokenizers that split at white space and drop it, which `checked` makes sure of on each new
-    tokenizer by a few sentences. Two generations of remembered pieces bound the memory.
+    This suits tokenizers that split at white space and drop it, lower-case, and mark word ends. Whether
+    one does is tried on a few sentences; texts of others are encoded as they are. Pieces that are new are
+    lower-cased, freed of punctuation at their end, and encoded in one call, whose ids are cut at word
+    ends. Two generations of remembered pieces bound the memory.
     """
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 350_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        ends = [t.endswith("</w>") for t, _ in sorted(self.tokenizer.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])]
+        self.ends = np.array(ends)
         samples = ["Ab cd, ef\nGh  ij.", "A 1 b\t2, it's", " x ", "é ü\r\nß", "Hello. World , a"]
         self.pieces = all(self.whole(s) == b"".join(self.whole(p) for p in s.split()) for s in samples)
-        self.lower = self.whole("Word,") == self.whole("word") + self.whole(",") and self.whole("Word.") == self.whole("word") + self.whole(".")
+        self.plain = self.pieces and all(self.whole(f"Word{c}") == self.whole("word") + self.whole(c) for c in (",", ".", "***", "!?", "'", "")) and self.cut(["word", "é", "a"]) is not None
 
     def whole(self, s: str) -> bytes:
         return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def texts(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
+    def cut(self, words: list[str]) -> list[bytes] | None:
+        """The ids of each of many words of letters, from one call; None if they aren't one run of ids each."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        end = np.flatnonzero(self.ends[ids]) + 1
+        if len(end) != len(words) or end[-1] != len(ids):
+            return None
+        raw, end = ids.tobytes(), (end * 4).tolist()
+        return [raw[a:b] for a, b in zip([0, *end], end)]
+
+    def rows(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a column's texts, one after the other, and the rows' places in them."""
         if not self.pieces:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        split = [_GAPS.split(s) if not s.isascii() or "\x1c" in s or "\x1d" in s or "\x1e" in s or "\x1f" in s else s.split() for s in texts]
-        self._learn(split)
-        get = self.young.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
-
-    def _learn(self, split: list[list[str]]) -> None:
-        """Make sure that every piece is in the young generation."""
+            each = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(col.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, "<u4"), *each]), np.append(0, np.cumsum([len(e) for e in each])).astype(np.int64)
+        split = pc.ascii_split_whitespace(col)
+        pieces = split.flatten().dictionary_encode()
+        texts = pieces.dictionary.to_pylist()
+        self._learn(texts)
+        each = list(map(self.young.__getitem__, texts))
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        pool = np.frombuffer(b"".join(each), "<u4")
+        which = pieces.indices.to_numpy()
+        start, size = (np.cumsum(size) - size)[which], size[which]
+        end = np.append(0, np.cumsum(size))
+        ids = pool[np.repeat(start - end[:-1], size) + np.arange(end[-1])]
+        at = split.offsets.to_numpy()
+        return ids, end[at - at[0]]
+
+    def _learn(self, texts: list[str]) -> None:
+        """Make sure that each of these pieces is in the young generation."""
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
         young[""] = b""
-        new = set().union(*split).difference(young) if split else set()
-        ask: dict[str, str | None] = {}
-        tail: list[tuple[str, str, str]] = []
-        for p in new:
-            if p in old:
-                young[p] = old[p]
+        words: dict[str, bytes] = {}
+        made: list[tuple[str, str, str]] = []
+        for p in texts:
+            if p in young:
+                continue
+            got = old.get(p)
+            if got is not None:
+                young[p] = got
                 continue
-            m = _PLAIN.fullmatch(p) if self.lower else None
-            if m:
-                word = m[1].lower()
-                tail.append((p, word, m[2]))
-                for q in (word, m[2]):
-                    if q not in young:
-                        ask[q] = None
-            elif self.lower and p.isascii() and p.isalpha():
-                word = p.lower()
-                if word != p:
-                    tail.append((p, word, ""))
-                if word not in young:
-                    ask[word] = None
+            q = p.rstrip(string.punctuation)
+            if self.plain and q.isalpha():
+                end = p[len(q) :]
+                q = q.lower()
+                if q in young:
+                    words[q] = young[q]
+                elif q in old:
+                    words[q] = old[q]
+                else:
+                    words.setdefault(q, b"")
+                made.append((p, q, end))
             else:
-                ask[p] = None
-        words = list(ask)
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            young[w] = np.array(e.ids, "<u4").tobytes()
-        for p, word, end in tail:
-            young[p] = young[word] + young[end]
+                young[p] = self.whole(p)
+        new = [w for w, ids in words.items() if not ids]
+        for a in range(0, len(new), 512):
+            part = new[a : a + 512]
+            words.update(zip(part, self.cut(part) or [self.whole(w) for w in part]))
+        stops = {c: self.whole(c) for c in {end for _, _, end in made}}
+        for p, q, end in made:
+            young[p] = words[q] + stops[end]
 
 
 @functools.lru_cache(2)
@@ -163,18 +193,18 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode_groups(col: pa.Array, enc: Encoder, group_bytes: int = 4 << 20):
-    """Runs of a string column's rows, encoded: (first row, [ids as bytes])."""
+def encode_groups(col: pa.Array, enc: Encoder, group_bytes: int = 8 << 20):
+    """Runs of a string column's rows, encoded: (first row, ids, the rows' places in ids)."""
     _, offsets = text.buffers(col)
     row = 0
     while row < len(col):
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + group_bytes, "right")) - 1)
-        yield row, enc.texts(col.slice(row, end - row).to_pylist())
+        yield row, *enc.rows(col.slice(row, end - row))
         row = end
 
 
 def _frames(path: str, end_id: int, frame_ids: int, plane_bits: int):
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def run(batches):
         from pyspark import TaskContext
@@ -185,7 +215,7 @@ def _frames(path: str, end_id: int, frame_ids: int, plane_bits: int):
 
         def close():
             nonlocal frame, first, ids, lengths, parts, held
-            payload = pack(np.frombuffer(b"".join(parts), "<u4"), plane_bits)
+            payload = pack(np.concatenate(parts), plane_bits)
             row = [[shard], [frame], [first], [ids], [lengths], [payload]]
             types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             out = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], ["shard", "frame", "first_id", "doc_ids", "lengths", "payload"])
@@ -195,11 +225,11 @@ def _frames(path: str, end_id: int, frame_ids: int, plane_bits: int):
 
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
-            for row, encoded in encode_groups(text.column(batch, "text"), enc):
-                for i, e in enumerate(encoded, row):
+            for row, encoded, at in encode_groups(text.column(batch, "text"), enc):
+                for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist()), row):
                     ids.append(doc_ids[i])
-                    lengths.append(len(e) // 4 + 1)
-                    parts += (e, end)
+                    lengths.append(b - a + 1)
+                    parts += (encoded[a:b], end)
                     held += lengths[-1]
                     if held >= frame_ids:
                         yield close()
