@@ -1,12 +1,63 @@
-"""A corpus pipeline of five stages, each working on all documents that its predecessor kept."""
+"""A corpus pipeline of five stages, each working on all documents that its predecessor kept.
 
+Every stage takes (spark, docs, sf_dir); its rows are written as Parquet in the shared folder and read
+again as the next stage's docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from motifmill.llm import bitplane, bm25, chosenpath, curriculum, quality
 from motifmill.llm.shared import save
 
-STAGES: list = []
+
+def _whole(docs: DataFrame) -> DataFrame:
+    """doc_id, source, text, and the whole row, whatever its columns are named."""
+    return docs.select("doc_id", "source", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row_"))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the n-gram likelihood ratio reject go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.score_documents(_whole(docs), labels, keep=("row_",)).where("kept").select("row_.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays, that of the least doc_id."""
+    return chosenpath.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return bm25.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it, sorted by training position."""
+    mixed = curriculum.mix(_whole(docs), keep=("row_",))
+    return curriculum.in_order(mixed).select("row_.*")
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write the documents' ids as a bit-plane store and digest what is read back from it."""
+    return bitplane.round_trip(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", mixing),
+    ("token-ID output", token_ids),
+]
+
+#: SQL can express neither the hashed likelihood ratio nor the tokenizer; tests compare each stage with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = save(stage(spark, docs, sf_dir), name.replace(" ", "_"))

@@ -182,26 +182,30 @@ class Index:
         return [(int(w // wide), int(w % wide)) for w in window]
 
 
+def _found(index: Index, col: pa.Array, least_overlap: float) -> list[tuple]:
+    """(row, item number, score, question and answer overlap, first word) of each row's verified items."""
+    out: list[tuple] = []
+    for first, offsets, h in text.words(col, lower=True, gaps=text.PUNCTUATION) if index.n else ():
+        best: dict[tuple[int, int], tuple] = {}
+        for row, w in index.candidates(offsets, h):
+            a = offsets[row] + w * index.stride
+            passage = h[a : min(a + 2 * index.stride, offsets[row + 1])]
+            t = np.searchsorted(index.terms, passage)
+            t[t == len(index.terms)] = 0
+            for item, score in index.wand(np.unique(t[index.terms[t] == passage])):
+                q, r = _share(index.question[item], passage), _share(index.answer[item], passage)
+                if q >= least_overlap and r >= least_overlap and ((row, item) not in best or best[row, item][0] < score):
+                    best[row, item] = (score, q, r, w * index.stride)
+        out += [(first + row, item, *v) for (row, item), v in best.items()]
+    return out
+
+
 def _query(sent, least_overlap: float):
     def run(batches):
         index: Index = sent.value
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            out: list[tuple] = []
-            for first, offsets, h in text.words(text.column(batch, "text"), lower=True, gaps=text.PUNCTUATION):
-                best: dict[tuple[int, int], tuple] = {}
-                for row, w in index.candidates(offsets, h) if index.n else ():
-                    a = offsets[row] + w * index.stride
-                    passage = h[a : min(a + 2 * index.stride, offsets[row + 1])]
-                    t = np.searchsorted(index.terms, passage)
-                    t[t == len(index.terms)] = 0
-                    for item, score in index.wand(np.unique(t[index.terms[t] == passage])):
-                        q, r = _share(index.question[item], passage), _share(index.answer[item], passage)
-                        if q >= least_overlap and r >= least_overlap:
-                            key = (row, item)
-                            if key not in best or best[key][0] < score:
-                                best[key] = (score, q, r, w * index.stride)
-                out += [(ids[first + row], index.ids[item], *v) for (row, item), v in best.items()]
+            out = [(ids[row], index.ids[item], *v) for row, item, *v in _found(index, text.column(batch, "text"), least_overlap)]
             cols = list(zip(*out)) if out else [()] * 6
             types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"])
@@ -209,6 +213,18 @@ def _query(sent, least_overlap: float):
     return run
 
 
+def _clean(sent, least_overlap: float):
+    """Rows (row, low) without those whose text holds an item."""
+
+    def run(batches):
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            keep[[x[0] for x in _found(sent.value, text.column(batch, "low"), least_overlap)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
 def _turns(items: DataFrame, most: int):
     """The items in parts of bounded text, each collected on its own."""
     size = F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long")
@@ -237,8 +253,10 @@ def leaks(docs: DataFrame, items: DataFrame, least_score: float = LEAST_SCORE, l
     return out
 
 
-def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that hold no item; rows of null doc_id stay unless their text holds one, which is told by the text's hash."""
-    keyed = docs.withColumn("key_", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    bad = leaks(keyed.select(F.col("key_").alias("doc_id"), "text"), items).select(F.col("doc_id").alias("key_")).distinct()
-    return keyed.join(bad, "key_", "left_anti").drop("key_")
+def without_leaks(docs: DataFrame, items: DataFrame, least_score: float = LEAST_SCORE, least_overlap: float = LEAST_OVERLAP, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """The rows of docs whose text holds no item, in one pass without a shuffle; nulls and columns as in docs."""
+    d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.lower("text").alias("low"))
+    for part in _turns(items, index_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(Index(part, least_score))
+        d = d.mapInArrow(_clean(sent, least_overlap), d.schema)
+    return d.select("row.*")

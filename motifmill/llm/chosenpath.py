@@ -19,7 +19,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motifmill.llm import text
@@ -251,14 +251,15 @@ def _gram_sets(gram: int):
     return run
 
 
-def join(docs: DataFrame, gram: int = GRAM, least: float = LEAST_SIMILARITY, recall: float = TARGET_RECALL) -> DataFrame:
-    """One row per row of docs: doc_id, class_id, n_links.
+def classes(docs: DataFrame, gram: int = GRAM, least: float = LEAST_SIMILARITY, recall: float = TARGET_RECALL) -> DataFrame:
+    """One row per row of docs: doc_id, text_hash, class_id, n_links, stays.
 
     Words are runs of anything but ASCII white space; a text of fewer than `gram` words has one n-gram of
     all of them, and one without words is linked with none. n_links: other rows whose sets have a Jaccard
     similarity of `least` or more, equal sets included. class_id: the least doc_id among all rows that a
     row is linked with directly or through others; its own doc_id without links. Rows of null doc_id are
     compared like others; a class of nothing but those has a null class_id. Repeated rows link each other.
+    stays: whether (doc_id, text_hash) is the least of its class, which all repeats of that row have in common.
     """
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
@@ -291,10 +292,31 @@ def join(docs: DataFrame, gram: int = GRAM, least: float = LEAST_SIMILARITY, rec
     compared = save(compared, "compared")
     links = compared.groupBy("set_id").agg(F.sum("links").alias("links"))
     roots = connected_components(compared.select(F.col("set_id").alias("a"), F.col("other").alias("b")))
-    found = sets.select("set_id", "rep", "copies").join(links, "set_id", "left").join(roots.withColumnRenamed("id", "set_id"), "set_id", "left")
-    found = found.select("set_id", "rep", F.coalesce("root", "set_id").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    class_id = found.groupBy("root").agg(F.min("rep").alias("class_id"))
-    per_set = found.join(class_id, "root").select(F.col("set_id").alias("s_"), "class_id", "n_links")
+    found = sets.select("set_id", "rep", "pick", "copies").join(links, "set_id", "left").join(roots.withColumnRenamed("id", "set_id"), "set_id", "left")
+    found = found.select("set_id", "rep", "pick", F.coalesce("root", "set_id").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    per_class = found.groupBy("root").agg(F.min("rep").alias("class_id"), F.min("pick").alias("pick"))
+    per_set = found.drop("pick").join(per_class, "root").select(F.col("set_id").alias("s_"), "class_id", "n_links", "pick")
     # texts without words have no row in per_set
     key = F.when(F.col("n_grams") > 0, F.col("set_id"))
-    return signed.select("doc_id", key.alias("set_id")).join(per_set, F.col("set_id") == F.col("s_"), "left").select("doc_id", F.when(F.col("s_").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = signed.select("doc_id", "text_hash", key.alias("set_id")).join(per_set, F.col("set_id") == F.col("s_"), "left")
+    alone = F.col("s_").isNull()
+    return out.select(
+        "doc_id", "text_hash", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        (alone | (F.col("doc_id").eqNullSafe(F.col("pick.doc_id")) & (F.col("text_hash") == F.col("pick.text_hash")))).alias("stays"),
+    )
+
+
+def join(docs: DataFrame, gram: int = GRAM, least: float = LEAST_SIMILARITY, recall: float = TARGET_RECALL) -> DataFrame:
+    """One row per row of docs: doc_id, class_id, n_links, as in `classes`."""
+    return classes(docs, gram, least, recall).select("doc_id", "class_id", "n_links")
+
+
+def one_of_each(docs: DataFrame, gram: int = GRAM, least: float = LEAST_SIMILARITY) -> DataFrame:
+    """The rows of docs without near duplicates: of each class the row of the least doc_id stays, once."""
+    stay = classes(docs, gram, least).where("stays").select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_")).distinct()
+    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    d = docs.select(F.col("doc_id").cast("long").alias("id"), text_hash.alias("hash"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    d = d.join(stay, (F.col("hash") == F.col("hash_")) & F.col("id").eqNullSafe(F.col("id_")), "left_semi")
+    empty = F.trim(F.coalesce(F.col("row.text"), F.lit(""))) == ""
+    nth = F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.lit(0)))
+    return d.withColumn("nth", nth).where((F.col("nth") == 1) | empty).select("row.*")

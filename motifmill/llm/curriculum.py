@@ -79,8 +79,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeats: floa
     d = docs.select(
         F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"), *keep
     ).withColumn("range", F.substring("h", 1, hex_digits))
-    d = save(d, "sizes")
-    by_range = d.groupBy("source", "range").agg(F.sum("size").alias("size"))
+    if not keep:  # else it would hold whole texts, which are cheaper to read again
+        d = save(d, "sizes")
+    by_range = save(d.groupBy("source", "range").agg(F.sum("size").alias("size")), "ranges")
     targets = save(source_targets(by_range, weights, max_repeats), "targets")
     ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     base = by_range.select("source", "range", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("base"))

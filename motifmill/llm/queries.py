@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifmill.llm import bitplane, bm25, chosenpath, curriculum, hpylm, licenses, quality
+from motifmill.llm import bitplane, bm25, chaining, chosenpath, curriculum, hpylm, lengths, licenses, quality, toolcalls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op3_collinear_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.passages(_table(spark, sf_dir, "documents"))
+
+
 def op4_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -33,6 +37,14 @@ def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
+def op6_tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.link(*toolcalls.from_conversations(_table(spark, sf_dir, "conversations")))
+
+
+def op7_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.limits(lengths.histogram(_table(spark, sf_dir, "documents")))
+
+
 def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosenpath.join(_table(spark, sf_dir, "documents"))
 
@@ -47,7 +59,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hpylm_score, op2_bitplane_ids, op4_bm25_decontamination, op5_curriculum_mix, op8_chosen_path_join, op9_quality_rules, op10_license_scan)}
+    every = (
+        op1_hpylm_score, op2_bitplane_ids, op3_collinear_passages, op4_bm25_decontamination, op5_curriculum_mix,
+        op6_tool_call_links, op7_length_histogram, op8_chosen_path_join, op9_quality_rules, op10_license_scan,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -35,4 +35,21 @@ SELECT doc_id, size, source_size, round(target, 6) AS target, (copies * size)::B
 FROM counted
 """
 
-ORACLES = {"op5_curriculum_mix": _OP5}
+#: Turns are calls and results by number; a call's order is its place among the conversation's call turns.
+_OP6 = r"""
+WITH calls AS (
+  SELECT conv_id, turn, text, 'c' || turn AS call_id FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL),
+results AS (
+  SELECT conv_id, 'c' || (turn - 1) AS call_id, min({'turn': turn, 'content': text}) AS result, count(*) AS n_results
+  FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+places AS (
+  SELECT conv_id, call_id, row_number() OVER (PARTITION BY conv_id ORDER BY min(turn)) - 1 AS order_no FROM calls GROUP BY conv_id, call_id)
+SELECT c.conv_id, c.call_id, c.turn, 'ask' AS name, r.result.turn AS result_turn, coalesce(r.n_results, 0)::BIGINT AS n_results,
+       p.order_no::BIGINT AS order_no, false AS cyclic, coalesce(length(c.text), 0) > 0 AND c.turn >= 0 AS valid,
+       concat_ws(',', CASE WHEN c.text IS NULL THEN 'missing text' END, CASE WHEN c.text = '' THEN 'range text' END, CASE WHEN c.turn < 0 THEN 'range turn' END) AS errors,
+       '{"arguments":{' || coalesce('"text":' || to_json(c.text)::VARCHAR || ',', '') || '"turn":' || c.turn || '},"call_id":' || to_json(c.call_id)::VARCHAR
+       || ',"name":"ask","result":' || coalesce(to_json(r.result.content)::VARCHAR, 'null') || '}' AS json
+FROM calls c JOIN places p USING (conv_id, call_id) LEFT JOIN results r USING (conv_id, call_id)
+"""
+
+ORACLES = {"op6_tool_call_links": _OP6, "op5_curriculum_mix": _OP5}
