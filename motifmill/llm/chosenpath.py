@@ -192,7 +192,7 @@ def _proposals(least: float):
 
 
 def _exact(gram: int, least: float):
-    """Sorted (root, bi, bj, set_id, own, copies, grams) to (set_id, links, other): documents linked with the set in this block, and the least set that it is linked with."""
+    """Sorted (root, bi, bj, set_id, own, copies, grams) to (set_id, links, other): documents linked with the set in this block, and one set of those that the block's links connect it with."""
 
     def run(batches):
         for (_, bi, bj), rows in row_groups(batches, ["root", "bi", "bj"]):
@@ -232,8 +232,8 @@ def _exact(gram: int, least: float):
             links = linked @ copies
             some = np.flatnonzero(linked.any(1))
             if len(some):
-                least_other = np.where(linked[some], ids[None, :], np.iinfo(np.int64).max).min(1)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(least_other)], ["set_id", "links", "other"])
+                root = _unite(n, *np.nonzero(linked))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(ids[root[some]])], ["set_id", "links", "other"])
 
     return run
 
