@@ -2,52 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motifmill.session import new_path, save, shared_dir  # noqa: F401
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="motifmill-"))
-    return sc.getCheckpointDir()
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may be gone by now; the folder is scratch space
-        pass
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark).rstrip('/')}/motifmill-{uuid.uuid4().hex}/{name}"
-    atexit.register(_delete, spark, path.rsplit("/", 1)[0])
-    return path
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the shared folder and read it back, which cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
