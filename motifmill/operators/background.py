@@ -96,3 +96,9 @@ def fisher(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 def bonferroni(p: Column, tests: Column) -> Column:
     return F.least(p * tests, F.lit(1.0))
+
+
+def share_up_to(hist: DataFrame, words: DataFrame, key: str = "kmer") -> DataFrame:
+    """(key, cov, share): the share of samples with at most the word's coverage."""
+    d = words.select(key, F.col("cov").alias("c")).join(hist, key).groupBy(key, "c")
+    return d.agg((F.coalesce(F.sum(F.when(F.col("cov") <= F.col("c"), F.col("freq"))), F.lit(0)) / F.sum("freq")).alias("share")).withColumnRenamed("c", "cov")

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motifmill.functions import numbers as N
 from motifmill.functions import patterns as P
 from motifmill.operators import background, compare, degenerate, graphs, kmers, search
 from motifmill.session import save
@@ -543,6 +544,57 @@ def event_sequences(spark, d):
     return s.select("user_id", "day", F.length("seq").cast("long").alias("letters"), F.size(P.kmers(F.col("seq"), 3)).cast("long").alias("n_kmers"))
 
 
+@query("SELECT p_partkey, p_size AS a, (p_partkey % 60 + 1)::BIGINT AS b, gcd(p_size, p_partkey % 60 + 1)::BIGINT AS gcd, lcm(p_size, p_partkey % 60 + 1)::BIGINT AS lcm FROM part")
+def number_helpers(spark, d):
+    a, b = F.col("p_size"), F.col("p_partkey") % 60 + 1
+    return table(spark, d, "part").select("p_partkey", a.alias("a"), b.alias("b"), N.gcd(a, b).alias("gcd"), N.lcm(a, b).alias("lcm"))
+
+
+@query("""WITH o AS (SELECT o_custkey, list(epoch_ms(o_orderdate) // 86400000) FILTER (o_orderstatus = 'F') AS a, list(epoch_ms(o_orderdate) // 86400000) FILTER (o_orderstatus <> 'F') AS b FROM orders GROUP BY o_custkey)
+SELECT o_custkey, coalesce((SELECT min(y - x) FROM (SELECT unnest(a) AS x), (SELECT unnest(b) AS y) WHERE y > x), -1)::BIGINT AS days FROM o""")
+def least_offset(spark, d):
+    day = F.floor(F.unix_timestamp("o_orderdate") / 86400)
+    done = F.col("o_orderstatus") == "F"
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(F.when(done, day)).alias("a"), F.collect_list(F.when(~done, day)).alias("b"))
+    return o.select("o_custkey", N.least_offset(F.col("a"), F.col("b")).alias("days"))
+
+
+@query(f"WITH {SEQ} SELECT seq_id, i::BIGINT AS n, length(seq) - i + 1 AS runs, left(seq, i::BIGINT) AS first FROM pos, range(1, 4) r(i)")
+def list_ngrams(spark, d):
+    letters = F.filter(F.split("seq", ""), lambda c: c != "")
+    p = positives(spark, d).withColumn("letters", letters)
+    parts = [p.select("seq_id", F.lit(n).cast("long").alias("n"), N.ngrams(F.col("letters"), n).alias("g")) for n in (1, 2, 3)]
+    return parts[0].union(parts[1]).union(parts[2]).select("seq_id", "n", F.size("g").cast("long").alias("runs"), F.array_join(F.col("g")[0], "").alias("first"))
+
+
+@query("SELECT (i - 1)::INTEGER AS pos, string_agg(substr(n_name, i, 1), '' ORDER BY n_nationkey) AS letters FROM nation, range(1, 40) r(i) WHERE i <= length(n_name) GROUP BY i")
+def transposed(spark, d):
+    return N.transposed(table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("seq")))
+
+
+@query(f"{_PPM}, {_F} SELECT pattern, pos, chr, round(log2(f / 0.25), 2) AS score FROM f")
+def pwm_log_odds(spark, d):
+    m = degenerate.ppm(patterns(spark, d), positives(spark, d))
+    total = m.groupBy("pattern", "pos").agg(F.sum("w").alias("all"))
+    return m.join(total, ["pattern", "pos"]).select("pattern", "pos", "chr", N.log_odds(F.col("w") / F.col("all"), F.lit(0.25)).alias("score"))
+
+
+@query(f"{PBASE} SELECT pattern, (i - 1)::INTEGER AS pos, substr(kmer, i, 1) AS chr, count(*) AS n FROM expd, range(1, 5) r(i) GROUP BY ALL")
+def pwm_counts(spark, d):
+    return degenerate.pwm_counts(degenerate.expansions(patterns(spark, d)))
+
+
+@query(f"{HIST} SELECT w.kmer, w.cov, round(coalesce(sum(freq) FILTER (h.cov <= w.cov), 0) / sum(freq), 9) AS share FROM words w JOIN hist h USING (kmer) GROUP BY w.kmer, w.cov")
+def distribution_share(spark, d):
+    words, hist = _hist(spark, d)
+    return background.share_up_to(hist, words).withColumn("share", F.round("share", 9))
+
+
+@query()
+def merged_tops(spark, d):
+    return search.merged_tops(cov(spark, d), index(spark, d), 20)
+
+
 @query()
 def pattern_search(spark, d):
     return search.patterns(kmers.candidates(cov(spark, d), positives(spark, d).count()), index(spark, d), K)
