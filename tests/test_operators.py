@@ -220,3 +220,30 @@ def test_streaming_coverage(spark, tmp_path):
     q.stop()
     want = kmers.coverage(kmers.index(spark.createDataFrame(rows, "seq_id long, seq string"), [2]))
     assert sorted(map(tuple, streaming.total(spark, str(out)).select("k", "kmer", "visits", "cov").collect())) == sorted(map(tuple, want.select("k", "kmer", "visits", "cov").collect()))
+
+
+def test_number_helpers(spark):
+    from motifmill.functions import numbers as N
+
+    one = lambda c: spark.range(1).select(c.alias("v")).first().v
+    arr = lambda *x: F.array(*[F.lit(i) for i in x])
+    assert one(N.gcd(F.lit(84), F.lit(36))) == 12 and one(N.lcm(F.lit(4), F.lit(6))) == 12 and one(N.lcm(F.lit(0), F.lit(6))) == 0
+    assert one(N.least_offset(arr(1, 5), arr(4, 7))) == 2 and one(N.least_offset(arr(9), arr(1))) == -1
+    assert one(N.ngrams(arr(1, 2, 3), 2)) == [[1, 2], [2, 3]] and one(N.ngrams(arr(1), 2)) == []
+    assert len(one(N.all_ngrams(arr(1, 2, 3), 3))) == 5
+    assert N.boundaries(0, 2, 1) == [(float("-inf"), 0), (0, 1), (1, 2), (2, float("inf"))]
+    assert one(N.log_odds(F.lit(0.5), F.lit(0.25))) == 1.0
+    d = spark.createDataFrame([(1, "AB"), (2, "C")], "id int, seq string")
+    assert [tuple(r) for r in N.transposed(d).orderBy("pos").collect()] == [(0, "AC"), (1, "B")]
+
+
+def test_queries_and_oracles_go_together():
+    import __spark_entry__ as entry
+
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) >= 65
+
+
+def test_entry_runs(spark):
+    import __spark_entry__ as entry
+
+    assert entry.entry(spark).count() == 96
