@@ -52,4 +52,37 @@ SELECT c.conv_id, c.call_id, c.turn, 'ask' AS name, r.result.turn AS result_turn
 FROM calls c JOIN places p USING (conv_id, call_id) LEFT JOIN results r USING (conv_id, call_id)
 """
 
-ORACLES = {"op6_tool_call_links": _OP6, "op5_curriculum_mix": _OP5}
+
+
+def _license_scan() -> str:
+    """Words, rolling 3-grams and diagonals as lists and joins; the templates are those of the operator."""
+    from motifmill.llm import licenses as L
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    templates = ", ".join(f"({i}, {quoted(label)}, {quoted(wording)})" for i, (label, wording) in enumerate(L.TEMPLATES))
+    words = lambda c: f"regexp_extract_all(translate(coalesce({c}, ''), '{L.UPPER}', '{L.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    at = lambda phrase: "list_filter(range(1, len(w) + 1), lambda i: " + " AND ".join(f"w[i + {j}] = {quoted(x)}" for j, x in enumerate(phrase)) + ")"
+    places = ", ".join(f"{at(phrase)} AS p{i}" for i, (phrase, _) in enumerate(L.PHRASES))
+    every = "flatten([" + ", ".join(f"p{i}" for i in range(len(L.PHRASES))) + "])"
+    found = "list_filter([" + ", ".join(f"CASE WHEN len(p{i}) > 0 THEN {quoted(label)} END" for i, (_, label) in enumerate(L.PHRASES)) + "], lambda x: x IS NOT NULL)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, {words("text")} AS w FROM documents),
+t AS (SELECT template, label, {words("wording")} AS w FROM (VALUES {templates}) v(template, label, wording)),
+tg AS (SELECT template, label, len(w) AS t_len, i - 1 AS t_pos, w[i:i + 2] AS g FROM t, range(1, 60) r(i) WHERE i <= len(w) - 2),
+dg AS (SELECT rn, i - 1 AS pos, w[i:i + 2] AS g FROM d, unnest(range(1, len(w) - 1)) r(i)),
+votes AS (SELECT rn, template, label, t_len, pos - t_pos AS diagonal, list(DISTINCT t_pos) AS places FROM dg JOIN tg USING (g) GROUP BY ALL),
+spans AS (SELECT *, sum(fresh) OVER (PARTITION BY rn, template ORDER BY diagonal) AS span
+  FROM (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rn, template ORDER BY diagonal) <= {L.SLACK} THEN 0 ELSE 1 END AS fresh FROM votes)),
+covered AS (SELECT rn, label, len(list_distinct(flatten(list_transform(flatten(list(places)), lambda x: [x, x + 1, x + 2])))) / t_len AS cover
+  FROM spans GROUP BY rn, template, label, t_len, span),
+best AS (SELECT rn, list(DISTINCT label) AS more, max(cover) AS best FROM covered WHERE cover >= {L.LEAST_COVER} GROUP BY rn),
+base AS (SELECT rn, doc_id, len(w) AS n_words, {every} AS every, {found} AS found FROM (SELECT *, {places} FROM d))
+SELECT doc_id, n_words::BIGINT AS n_words, len(every)::BIGINT AS n_base, (list_min(every) - 1)::BIGINT AS first_word, (list_max(every) - 1)::BIGINT AS last_word,
+       array_to_string(list_sort(found), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(found, coalesce(more, [])))), ',') AS labels,
+       CASE WHEN len(every) > 0 THEN 1.0 ELSE coalesce(best, 0) END::DOUBLE AS score
+FROM base LEFT JOIN best USING (rn)
+"""
+
+
+ORACLES = {"op10_license_scan": _license_scan(), "op6_tool_call_links": _OP6, "op5_curriculum_mix": _OP5}
