@@ -110,4 +110,4 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeats: floa
 
 def in_order(mixed: DataFrame) -> DataFrame:
     """One row per copy, range-sorted by training position."""
-    return mixed.select("*", F.explode("positions").alias("position")).drop("positions", "copies").orderBy("position", "doc_id")
+    return mixed.select("*", F.explode_outer("positions").alias("position")).where("position is not null").drop("positions", "copies").orderBy("position", "doc_id")
