@@ -104,7 +104,7 @@ class Encoder:
     ends. Two generations of remembered pieces bound the memory.
     """
 
-    def __init__(self, path: str, most: int = 350_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -193,7 +193,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode_groups(col: pa.Array, enc: Encoder, group_bytes: int = 8 << 20):
+def encode_groups(col: pa.Array, enc: Encoder, group_bytes: int = 3 << 20):
     """Runs of a string column's rows, encoded: (first row, ids, the rows' places in ids)."""
     _, offsets = text.buffers(col)
     row = 0
