@@ -34,6 +34,24 @@ def test_scores_against_brute_force(spark):
     assert sorted((str(r.doc_id), r.n_tokens, round(r.score, 9)) for r in first) == sorted((str(r.doc_id), r.n_tokens, round(r.score, 9)) for r in again)
 
 
+def test_frequent_words_are_split_by_context(spark):
+    rows = [(i, "the a the b the " * 30 + prose(60, i), "en", "s", 0, 1.0, 7, "r", 3, "p", True) for i in range(40)]
+    loads = np.zeros(1 << hpylm.BIN_BITS, np.int64)
+    loads[[3, 9, 10]] = 100, 5, 7
+    first, split, parts = hpylm.layout(loads, 4)
+    assert split[3] == 8 and split[9] == split[10] == 1 and parts <= 12 and first[9] >= first[3] + 8
+    w = np.full(65536 + 70000, text.mix(np.array([5], np.uint64))[0])
+    out = hpylm._cut(w, np.append(np.zeros(65536 + 69000, np.int64), np.arange(1000)), np.zeros(len(w), np.int64), np.zeros(1 << 16, np.int32), np.full(1 << 16, 3, np.int32), 17)
+    assert {p for p, _ in out} == {0, 1, 2} and sum(int(hpylm._load(b, *hpylm._BLOCK)[6].sum()) for _, b in out) == len(w)
+    # with many ranges "the" is split; exact counts don't change, and sampled scores little
+    few = {r.doc_id: r for r in hpylm.score(frame(spark, rows), ranges=1).collect()}
+    many = {r.doc_id: r for r in hpylm.score(frame(spark, rows), ranges=24).collect()}
+    for i, a in few.items():
+        b = many[i]
+        assert (a.n_tokens, a.n_known, a.train_tokens) == (b.n_tokens, b.n_known, b.train_tokens) and a.base_score == pytest.approx(b.base_score)
+        assert a.score == pytest.approx(b.score, rel=0.03)
+
+
 def test_model_beats_base_on_held_out_text(spark):
     rows = [(i, prose(400, i % 60)[: 2000 + i], "en", "s", 0, 1.0, 7, "r", 3, "p", True) for i in range(150)]
     p = {r.held_out: r for r in hpylm.perplexity(hpylm.score(frame(spark, rows), ranges=2)).collect()}
@@ -48,9 +66,11 @@ def _range(n=4000, bits=8):
     rng = np.random.default_rng(3)
     w = text.mix(np.minimum(rng.zipf(1.5, n), 200).astype(np.uint64))
     u = np.append(0, (w[:-1] & np.uint64((1 << bits) - 1)).astype(np.int64))
-    [(part, block)] = hpylm._cut(w, u, np.zeros(n, np.int64), 1, bits)
+    one = np.ones(1 << hpylm.BIN_BITS, np.int32)
+    [(part, block)] = hpylm._cut(w, u, np.zeros(n, np.int64), 0 * one, one, bits)
     rows = hpylm._dump(np.array([5], "<i8"), np.zeros(1, "u1"), np.zeros(1, "u1"))
-    return hpylm.Range(part, [(0, rows, block)], bits), w, u
+    r = hpylm.Range(part, [(0, rows, block)], bits, one)
+    return r.know(np.zeros(0, np.uint64), np.zeros(0, np.int64)), w, u
 
 
 def test_seating_keeps_customers_and_predicts_a_distribution():
@@ -60,7 +80,7 @@ def test_seating_keeps_customers_and_predicts_a_distribution():
     s = hpylm.Seats(r, d, 11, 3 * hpylm.RESEATED)
     v = len(r.words)
     for k in range(1, 4):
-        s.sweep(k, s.per_context(1 << bits), strength, 10.0, v)
+        s.sweep(k, s.per_context(1 << bits), np.zeros(0), strength, 10.0, v)
         for i, t in enumerate(s.many):
             mine = s.size[s.at[i] : s.at[i + 1]]
             assert mine.sum() == r.count[t] and (mine > 0).sum() == s.tables[t] >= 1
