@@ -117,6 +117,52 @@ def test_passages(spark):
     assert chaining.passages(frame(spark, [])).count() == 0
 
 
+def test_passage_whose_seeds_were_seen_in_other_documents(spark):
+    shared = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(50):  # each has a part of the passage that is too short to be one
+        rows.append((i, " ".join([f"a{i}x{j}" for j in range(30)] + shared[i : i + 12] + [f"b{i}x{j}" for j in range(30)]), *documents()[0][2:]))
+    for i in (60, 70, 80):
+        rows.append((i, " ".join([f"a{i}x{j}" for j in range(40)] + shared + [f"b{i}x{j}" for j in range(40)]), *documents()[0][2:]))
+    got = {(r.doc_id, r.other_id, r.first_word, r.last_word, r.n_equal) for r in chaining.passages(frame(spark, rows)).collect()}
+    assert got == {(70, 60, 40, 99, 60), (80, 70, 40, 99, 60)}
+
+
+def test_links_with_the_document_before(monkeypatch):
+    import pyspark
+
+    r = np.random.default_rng(3)
+    rows = sorted({(int(r.integers(0, 4)), int(r.integers(0, 6)), int(r.integers(0, 5))) for _ in range(70)})
+    of = {s: min(x[1:] for x in rows if x[0] == s) for s, _, _ in rows}
+    want = set()
+    for s, d, p in rows:
+        before = [x[1:] for x in rows if x[0] == s and x[1] < d]
+        if before:
+            want |= {(s, d, p, *of[s])} | ({(s, d, p, *max(before))} if max(before)[0] != of[s][0] else set())
+    for cuts in ([], [20], [1, 2, 3, 4, 5, 6, 30, 31, 32], list(range(1, len(rows)))):
+        found, tails = [], []
+        for part, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(rows)])):
+            monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda cls, part=part: type("T", (), {"partitionId": lambda self: part})()))
+            batches = [pa.table({k: [x[i] for x in rows[c : min(c + 3, b)]] for i, k in enumerate(("seed", "doc_id", "place"))} | {k: [of[x[0]][i] for x in rows[c : min(c + 3, b)]] for i, k in enumerate(("other_id", "other_place"))}).to_batches()[0] for c in range(a, b, 3)]
+            found += [x for out in chaining._links(iter(batches)) for x in out.to_pylist()]
+        tails = [tuple(x[k] for k in ("part", "seed", "doc_id", "place", "other_id", "other_place")) for x in found if x["kind"] == 2]
+        got = {(x["seed"], x["doc_id"], x["place"], x["other_id"], x["other_place"]) for x in found if x["kind"] == 0}
+        left = chaining.carried(tails)
+        for x in found:
+            if x["kind"] == 1:
+                prev = [t[2:] for t in left if t[:2] == (x["part"], x["seed"]) and t[2] < x["doc_id"] and t[2] != x["other_id"]]
+                got |= {(x["seed"], x["doc_id"], x["place"], *max(prev))} if prev else set()
+        assert got == want
+
+
+def test_alignment_ends_with_its_passage():
+    a, b = np.arange(300).astype("<u2"), np.arange(1000, 1300).astype("<u2")
+    b[100:140] = a[100:140]
+    for i in range(150, 290, 20):  # a few equal words here and there
+        b[i : i + 3] = a[i : i + 3]
+    assert chaining.align(a, b, 110, 110) == (100, 140, 100, 140, 40)
+
+
 def test_wand_finds_what_scoring_all_finds():
     items = [(i, prose(20 + i % 30, 500 + i, 150)) for i in range(60)]
     index = bm25.Index(items, 0.3)
