@@ -1,5 +1,6 @@
 import json
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -120,6 +121,27 @@ def test_quality_against_brute_force(spark):
     assert {r.score for r in quality.score_documents(frame(spark), labels(spark, []), bins).collect()} == {0.0}
 
 
+def test_labels_set_the_limits(spark):
+    r = random.Random(5)
+    vocabulary = [f"{a}{b}{c}" for a in "bdklm" for b in "aeiou" for c in "nrst"]
+    slurs = ["vile", "rotten", "nasty", "horrid"]
+    rows, labelled, kind = [], [], {}
+    for i in range(700):
+        w = r.choices(vocabulary, k=100)
+        kind[i] = "toxic" if i % 7 == 0 else "bad" if i % 7 == 1 else "good"
+        if kind[i] == "toxic":
+            for k in range(4):
+                w[r.randrange(100)] = slurs[(i + k) % 4]
+        if kind[i] == "bad":
+            w = [x if r.random() < 0.6 else f"zq{r.randrange(40)}" for x in w]
+        rows.append((i, " ".join(w), "en", "s", 0, 1.0, 7, "r", 3, "p", True))
+        if i >= 140:
+            labelled.append((i, int(kind[i] != "bad"), int(kind[i] == "toxic")))
+    got = {x.doc_id: x.kept for x in quality.score_documents(frame(spark, rows).drop("score", "kept", "bins_"), labels(spark, labelled)).collect()}
+    share = {k: sum(got[i] for i in range(140) if kind[i] == k) / sum(kind[i] == k for i in range(140)) for k in ("good", "bad", "toxic")}
+    assert share["bad"] == 0 and share["toxic"] == 0 and share["good"] >= 0.9
+
+
 def license_words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(AZ))
 
