@@ -2,18 +2,21 @@
 
 A store is a table of frames. A frame holds whole documents: a header row (shard, frame number, first id
 within the shard, the documents' ids and lengths) and a payload. The payload cuts the ids into blocks of
-BLOCK ids and transposes each block, so that bit (or byte) j of all its ids lies together; plane j of all
-blocks of the frame is compressed with zstandard as one chunk, and an index of the chunks' places and
-sizes stands ahead of them. Spark writes the table, so a store commits as a whole and can lie wherever
-Spark can write.
-
-Payload, little-endian: magic "BPL1", plane width in bits (1 or 8), 3 zero bytes, number of ids (u64),
-number of planes (u32), ids per block (u32), one (offset u64, size u32, 4 zero bytes) per plane, chunks.
+BLOCK ids and transposes each block, so that bit (or byte) j of all its ids lies together; each plane of
+each block is compressed with zstandard as a chunk of its own, and an index of the chunks' places and sizes
+stands ahead of them, so any block can be read by itself. Spark writes the table, so a store commits as a
+whole and can lie wherever Spark can write.
+
+Payload, little-endian: magic "BPL2", plane width in bits (1 or 8), 3 zero bytes, number of ids (u64),
+number of planes (u32), ids per block (u32), one (offset u64, size u32, 4 zero bytes) per block and plane,
+chunks.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
+import json
 import string
 import struct
 import zlib
@@ -25,13 +28,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from motifmill.llm import text
-from motifmill.llm.shared import new_path, partitions
+from motifmill.llm.shared import in_arrow, new_path, partitions
 
-BLOCK = 4096
+BLOCK = 1 << 15
 #: A frame is closed at the first document end after so many ids.
 FRAME_IDS = 1 << 17
 LEVEL = 3
-MAGIC = b"BPL1"
+MAGIC = b"BPL2"
 _HEAD = struct.Struct("<4sB3xQII")
 _ENTRY = struct.Struct("<QI4x")
 
@@ -39,24 +42,22 @@ FRAME_SCHEMA = "shard int, frame long, first_id long, doc_ids array<bigint>, len
 
 
 def pack(ids: np.ndarray, plane_bits: int = 1, block: int = BLOCK, level: int = LEVEL) -> bytes:
-    """Ids (unsigned 32-bit) to a payload. Planes above the largest id's top bit are left out."""
+    """Ids (unsigned 32-bit) to a payload. Planes above the largest id's top bit are left out; the last block may be short."""
     import zstandard
 
     n = len(ids)
     top = int(ids.max()).bit_length() if n else 0
     planes = -(-top // plane_bits)
-    blocks = -(-n // block)
-    padded = np.zeros(blocks * block, "<u4")
-    padded[:n] = ids
     compressor = zstandard.ZstdCompressor(level=level)
     chunks = []
-    low = np.zeros(0, np.uint8)
-    for j in range(planes):
-        if j * plane_bits % 8 == 0:
-            low = np.ascontiguousarray(padded.view(np.uint8)[j * plane_bits // 8 :: 4])  # this byte of all ids
-        raw = np.packbits(low & np.uint8(1 << j % 8), bitorder="little") if plane_bits == 1 else low
-        chunks.append(compressor.compress(raw.tobytes()))
-    at = _HEAD.size + _ENTRY.size * planes
+    for a in range(0, n, block):
+        octets = np.ascontiguousarray(ids[a : a + block], "<u4").view(np.uint8)
+        for j in range(planes):
+            if j * plane_bits % 8 == 0:
+                low = np.ascontiguousarray(octets[j * plane_bits // 8 :: 4])  # this byte of all ids
+            raw = np.packbits(low & np.uint8(1 << j % 8), bitorder="little") if plane_bits == 1 else low
+            chunks.append(compressor.compress(raw.tobytes()))
+    at = _HEAD.size + _ENTRY.size * len(chunks)
     index = []
     for c in chunks:
         index.append(_ENTRY.pack(at, len(c)))
@@ -64,29 +65,42 @@ def pack(ids: np.ndarray, plane_bits: int = 1, block: int = BLOCK, level: int =
     return b"".join([_HEAD.pack(MAGIC, plane_bits, n, planes, block), *index, *chunks])
 
 
-def unpack(payload: bytes) -> np.ndarray:
-    """A payload's ids."""
-    import zstandard
-
-    magic, plane_bits, n, planes, block = _HEAD.unpack_from(payload)
+def blocks(payload: bytes) -> int:
+    """Number of a payload's blocks."""
+    magic, _, n, _, block = _HEAD.unpack_from(payload)
     if magic != MAGIC:
         raise ValueError("not a bit-plane payload")
-    size = -(-n // block) * block
+    return -(-n // block)
+
+
+def unpack_block(payload: bytes, k: int) -> np.ndarray:
+    """The ids of a payload's block k, from its own chunks alone."""
+    import zstandard
+
+    if not 0 <= k < blocks(payload):
+        raise IndexError(k)
+    _, plane_bits, n, planes, block = _HEAD.unpack_from(payload)
+    size = min(block, n - k * block)
     out = np.zeros(size, "<u4")
     octets = out.view(np.uint8)
     decompressor = zstandard.ZstdDecompressor()
     for j in range(planes):
-        at, length = _ENTRY.unpack_from(payload, _HEAD.size + j * _ENTRY.size)
+        at, length = _ENTRY.unpack_from(payload, _HEAD.size + (k * planes + j) * _ENTRY.size)
         raw = np.frombuffer(decompressor.decompress(payload[at : at + length]), np.uint8)
         if plane_bits == 8:
             octets[j::4] = raw
             continue
         if j % 8 == 0:
             low = np.zeros(size, np.uint8)
-        low |= np.unpackbits(raw, bitorder="little") << np.uint8(j % 8)
+        low |= np.unpackbits(raw, count=size, bitorder="little") << np.uint8(j % 8)
         if j % 8 == 7 or j == planes - 1:
             octets[j // 8 :: 4] = low
-    return out[:n]
+    return out
+
+
+def unpack(payload: bytes) -> np.ndarray:
+    """A payload's ids."""
+    return np.concatenate([np.zeros(0, "<u4"), *[unpack_block(payload, k) for k in range(blocks(payload))]])
 
 
 def default_tokenizer() -> str:
@@ -95,94 +109,146 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: How a tokenizer has to be made for its ids to be those of white-space separated pieces, one after the other.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def cuts_at_spaces(made: dict) -> bool:
+    """Whether a tokenizer's parts (its JSON) show that it drops white space and never looks across it, nor from a word's letters to ASCII punctuation after them."""
+    steps = [(made.get(k) or {}).get(f"{k.split('_')[0]}s" if k == "normalizer" else "pretokenizers") for k in ("normalizer", "pre_tokenizer")]
+    octets = (steps[1] or [{}])[-1]
+    model = made["model"]
+    return bool(
+        steps[0] == _NORMALIZERS and len(steps[1] or ()) == 2 and steps[1][0] == _SPLIT
+        and octets.get("type") == "ByteLevel" and not octets.get("add_prefix_space") and not octets.get("use_regex")
+        and model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and not made.get("truncation") and not made.get("padding")
+        and not any(t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"] or set(t["content"][:1] + t["content"][-1:]) - set(string.punctuation) for t in made["added_tokens"])
+    )
+
+
 class Encoder:
-    """Encodes whole texts with the tokenizers library, remembering the ids of white-space separated pieces.
+    """Encodes whole texts with the tokenizers library, remembering the ids of units of text.
 
-    This suits tokenizers that split at white space and drop it, lower-case, and mark word ends. Whether
-    one does is tried on a few sentences; texts of others are encoded as they are. Pieces that are new are
-    lower-cased, freed of punctuation at their end, and encoded in one call, whose ids are cut at word
-    ends. Two generations of remembered pieces bound the memory.
+    Where the tokenizer's parts allow it (`cuts_at_spaces`), a text's ids are those of its white-space
+    separated pieces, and a piece of letters and ASCII punctuation after them has the ids of both. Letters
+    that are new are encoded many words a call, whose ids are cut at word ends; the library does all
+    lower-casing but that of A-Z. Other tokenizers encode each text as it is. What is remembered is kept in
+    Arrow and numpy buffers of `most` bytes, or as much as one group of rows needs.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 8 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        ends = [t.endswith("</w>") for t, _ in sorted(self.tokenizer.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])]
-        self.ends = np.array(ends)
-        samples = ["Ab cd, ef\nGh  ij.", "A 1 b\t2, it's", " x ", "é ü\r\nß", "Hello. World , a"]
-        self.pieces = all(self.whole(s) == b"".join(self.whole(p) for p in s.split()) for s in samples)
-        self.plain = self.pieces and all(self.whole(f"Word{c}") == self.whole("word") + self.whole(c) for c in (",", ".", "***", "!?", "'", "")) and self.cut(["word", "é", "a"]) is not None
-
-    def whole(self, s: str) -> bytes:
-        return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def cut(self, words: list[str]) -> list[bytes] | None:
-        """The ids of each of many words of letters, from one call; None if they aren't one run of ids each."""
+        made = json.loads(self.tokenizer.to_str())
+        self.pieces = cuts_at_spaces(made)
+        if self.pieces:
+            vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """Remember nothing, as at first."""
+        self.known, self.ids, self.at = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        self.tried: set[str] = set()
+        self.letters: set[str] = set()
+
+    def each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many texts, one after the other, and how many each has."""
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(lists), "<u4"), np.fromiter(map(len, lists), np.int64, len(lists))
+
+    def cut(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As `each`, for many words of letters, from one call unless they aren't a run of ids each."""
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         end = np.flatnonzero(self.ends[ids]) + 1
         if len(end) != len(words) or end[-1] != len(ids):
-            return None
-        raw, end = ids.tobytes(), (end * 4).tolist()
-        return [raw[a:b] for a, b in zip([0, *end], end)]
+            return self.each(words)
+        return ids, np.diff(np.append(0, end))
 
     def rows(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a column's texts, one after the other, and the rows' places in them."""
         if not self.pieces:
-            each = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(col.to_pylist(), add_special_tokens=False)]
-            return np.concatenate([np.zeros(0, "<u4"), *each]), np.append(0, np.cumsum([len(e) for e in each])).astype(np.int64)
+            ids, size = self.each(col.to_pylist())
+            return ids, np.append(0, np.cumsum(size))
+        which, at, start, size, pool = self._pieces(col)
+        start, size = start[which], size[which]
+        end = np.append(0, np.cumsum(size))
+        return pool[np.repeat(start - end[:-1], size) + np.arange(end[-1])], end[at]
+
+    def lengths(self, col: pa.Array) -> np.ndarray:
+        """The number of ids of each of a column's texts."""
+        if not self.pieces:
+            return np.diff(self.rows(col)[1])
+        which, at, _, size, _ = self._pieces(col)
+        return np.diff(np.append(0, np.cumsum(size[which]))[at])
+
+    def _pieces(self, col: pa.Array):
+        """(each piece's number, the rows' places in the pieces, start and size of each number's ids, ids)."""
         split = pc.ascii_split_whitespace(col)
+        at = split.offsets.to_numpy().astype(np.int64)
         pieces = split.flatten().dictionary_encode()
-        texts = pieces.dictionary.to_pylist()
-        self._learn(texts)
-        each = list(map(self.young.__getitem__, texts))
-        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
-        pool = np.frombuffer(b"".join(each), "<u4")
-        which = pieces.indices.to_numpy()
-        start, size = (np.cumsum(size) - size)[which], size[which]
-        end = np.append(0, np.cumsum(size))
-        ids = pool[np.repeat(start - end[:-1], size) + np.arange(end[-1])]
-        at = split.offsets.to_numpy()
-        return ids, end[at - at[0]]
-
-    def _learn(self, texts: list[str]) -> None:
-        """Make sure that each of these pieces is in the young generation."""
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        young[""] = b""
-        words: dict[str, bytes] = {}
-        made: list[tuple[str, str, str]] = []
-        for p in texts:
-            if p in young:
-                continue
-            got = old.get(p)
-            if got is not None:
-                young[p] = got
-                continue
-            q = p.rstrip(string.punctuation)
-            if self.plain and q.isalpha():
-                end = p[len(q) :]
-                q = q.lower()
-                if q in young:
-                    words[q] = young[q]
-                elif q in old:
-                    words[q] = old[q]
-                else:
-                    words.setdefault(q, b"")
-                made.append((p, q, end))
-            else:
-                young[p] = self.whole(p)
-        new = [w for w, ids in words.items() if not ids]
-        for a in range(0, len(new), 512):
-            part = new[a : a + 512]
-            words.update(zip(part, self.cut(part) or [self.whole(w) for w in part]))
-        stops = {c: self.whole(c) for c in {end for _, _, end in made}}
-        for p, q, end in made:
-            young[p] = words[q] + stops[end]
+        distinct = pieces.dictionary
+        stems = pc.ascii_rtrim(distinct, characters=string.punctuation)
+        letters = self._letters(stems)
+        heads = pc.if_else(letters, pc.ascii_lower(stems), distinct)
+        tails = _tails(distinct, pc.if_else(letters, pc.binary_length(stems), pc.binary_length(distinct)))
+        units = pa.concat_arrays([heads, tails]).dictionary_encode()
+        start, size, pool = self._look_up(units.dictionary)
+        head, tail = np.split(units.indices.to_numpy(), 2)
+        # a piece's ids are its head's and its tail's
+        each = np.stack([head, tail], 1).ravel()
+        n = size[each]
+        end = np.append(0, np.cumsum(n))
+        pool = pool[np.repeat(start[each] - end[:-1], n) + np.arange(end[-1])]
+        return pieces.indices.to_numpy(), at - at[0], end[:-1:2], size[head] + size[tail], pool
+
+    def _letters(self, stems: pa.Array) -> pa.Array:
+        """Whether all characters are letters that the tokenizer keeps apart from ASCII punctuation behind them; other than a-z and A-Z, each is tried once."""
+        good = pc.or_(pc.ascii_is_alpha(stems), pc.equal(stems, "")).to_numpy(zero_copy_only=False).copy()
+        wide = np.flatnonzero(~pc.string_is_ascii(stems).to_numpy(zero_copy_only=False))
+        strings = stems.take(pa.array(wide)).to_pylist()
+        for c in set().union(*strings) - self.tried:
+            self.tried.add(c)
+            parts = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(c + "."))
+            if c in string.ascii_letters or c.isalpha() and [p for p, _ in parts[1:]] == ["."]:
+                self.letters.add(c)
+        good[wide] = [self.letters.issuperset(s) for s in strings]
+        return pa.array(good)
+
+    def _look_up(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, size) of each unit's ids, and the ids."""
+        place = pc.index_in(units, value_set=self.known)
+        new = units.filter(place.is_null())
+        if len(new):
+            alpha = pc.utf8_is_alpha(new)
+            words, others = new.filter(alpha), new.filter(pc.invert(alpha))
+            ids, sizes = zip(*[self.cut(words.slice(a, 512).to_pylist()) for a in range(0, len(words), 512)], self.each(others.to_pylist()))
+            self.known = pa.concat_arrays([self.known, words, others])
+            self.ids = np.concatenate([self.ids, *ids])
+            self.at = np.append(self.at, self.at[-1] + np.cumsum(np.concatenate(sizes)))
+            place = pc.index_in(units, value_set=self.known)
+        place = place.to_numpy()
+        start, size, pool = self.at[place], np.diff(self.at)[place], self.ids
+        if self.known.nbytes + self.ids.nbytes > self.most:  # keep what these rows need
+            end = np.append(0, np.cumsum(size))
+            pool = pool[np.repeat(start - end[:-1], size) + np.arange(end[-1])]
+            self.known, self.ids, self.at = units, pool, end
+            start = end[:-1]
+        return start, size, pool
+
+
+def _tails(col: pa.Array, heads: pa.Array) -> pa.Array:
+    """What follows the first so many bytes of each string."""
+    data, offsets = text.buffers(col)
+    start = offsets[:-1] + heads.to_numpy()
+    size = offsets[1:] - start
+    at = np.append(0, np.cumsum(size))
+    raw = data[np.repeat(start - at[:-1], size) + np.arange(at[-1])]
+    return pa.StringArray.from_buffers(len(col), pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw.tobytes()))
 
 
 @functools.lru_cache(2)
@@ -193,13 +259,13 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode_groups(col: pa.Array, enc: Encoder, group_bytes: int = 3 << 20):
-    """Runs of a string column's rows, encoded: (first row, ids, the rows' places in ids)."""
+def groups(col: pa.Array, group_bytes: int = 3 << 20):
+    """Runs of a string column's rows of bounded size, a longer text alone: (first row, rows)."""
     _, offsets = text.buffers(col)
     row = 0
     while row < len(col):
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + group_bytes, "right")) - 1)
-        yield row, *enc.rows(col.slice(row, end - row))
+        yield row, col.slice(row, end - row)
         row = end
 
 
@@ -225,7 +291,8 @@ def _frames(path: str, end_id: int, frame_ids: int, plane_bits: int):
 
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
-            for row, encoded, at in encode_groups(text.column(batch, "text"), enc):
+            for row, part in groups(text.column(batch, "text")):
+                encoded, at = enc.rows(part)
                 for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist()), row):
                     ids.append(doc_ids[i])
                     lengths.append(b - a + 1)
@@ -235,6 +302,7 @@ def _frames(path: str, end_id: int, frame_ids: int, plane_bits: int):
                         yield close()
         if ids:
             yield close()
+        enc.forget()
 
     return run
 
@@ -249,7 +317,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     d = d.repartitionByRange(shards or partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    d.mapInArrow(_frames(tokenizer or default_tokenizer(), end_id, frame_ids, plane_bits), FRAME_SCHEMA).write.parquet(path)
+    in_arrow(d, _frames(tokenizer or default_tokenizer(), end_id, frame_ids, plane_bits), FRAME_SCHEMA).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -284,7 +352,7 @@ def _digests(batches):
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """Per document of a store, from its decoded ids: doc_id, start, n_tokens, ids_crc32."""
     frames = read(spark, path)
-    d = frames.mapInArrow(_digests, "shard int, doc_id long, start long, n_tokens long, ids_crc32 long")
+    d = in_arrow(frames, _digests, "shard int, doc_id long, start long, n_tokens long, ids_crc32 long")
     d = d.join(shard_offsets(frames), "shard")
     return d.select("doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
@@ -300,7 +368,7 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
                 lists = [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "ids"])
 
-    return read(spark, path).mapInArrow(run, "doc_id long, ids array<bigint>")
+    return in_arrow(read(spark, path), run, "doc_id long, ids array<bigint>")
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None, plane_bits: int = 1) -> DataFrame:

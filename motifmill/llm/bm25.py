@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motifmill.llm import text
+from motifmill.llm.shared import in_arrow
 
 K1, B = 1.2, 0.75
 LEAST_SCORE = 0.6
@@ -248,7 +249,7 @@ def leaks(docs: DataFrame, items: DataFrame, least_score: float = LEAST_SCORE, l
     out = None
     for part in _turns(items, index_bytes):
         sent = spark.sparkContext.broadcast(Index(part, least_score))
-        found = d.mapInArrow(_query(sent, least_overlap), SCHEMA)
+        found = in_arrow(d, _query(sent, least_overlap), SCHEMA)
         out = found if out is None else out.union(found)
     return out
 
@@ -258,5 +259,5 @@ def without_leaks(docs: DataFrame, items: DataFrame, least_score: float = LEAST_
     d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.lower("text").alias("low"))
     for part in _turns(items, index_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(Index(part, least_score))
-        d = d.mapInArrow(_clean(sent, least_overlap), d.schema)
+        d = in_arrow(d, _clean(sent, least_overlap), d.schema)
     return d.select("row.*")

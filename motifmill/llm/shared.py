@@ -1,7 +1,10 @@
-"""Checkpoint tables and grouping helpers used by several operators."""
+"""Checkpoint tables, Arrow tasks and grouping helpers used by several operators."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,42 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of an Arrow batch, about; a single longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+@functools.lru_cache(1)
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # not this C library
+        return lambda _: 0
+
+
+def released(run):
+    """run, at whose end the worker gives freed memory back to the system, since workers live on for the next stage."""
+
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()(0)
+
+    return task
+
+
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow in batches of bounded bytes, with workers that hold nothing between tasks.
+
+    The bound on batches is a setting of the session, which is lowered to BATCH_BYTES and stays.
+    """
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(released(run), schema)
+
+
 def row_groups(batches, key: list[str], max_rows: int = 1 << 16):
     """Consecutive rows with equal keys, from Arrow batches that are sorted by them.
 

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -98,7 +99,37 @@ def test_seating_keeps_customers_and_predicts_a_distribution():
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=600), st.sampled_from([1, 8]), st.sampled_from([8, 64, 4096]))
 def test_planes_round_trip(ids, bits, block):
     x = np.array(ids, "<u4")
-    assert (bitplane.unpack(bitplane.pack(x, bits, block)) == x).all()
+    payload = bitplane.pack(x, bits, block)
+    assert (bitplane.unpack(payload) == x).all()
+    for k in range(bitplane.blocks(payload)):
+        assert (bitplane.unpack_block(payload, k) == x[k * block : (k + 1) * block]).all()
+
+
+#: Scripts, case pairs, characters that composing or lower-casing takes apart, spaces and punctuation.
+CHARACTERS = st.one_of(st.sampled_from("abcXYZ019 .,'!<|>_\n\t\x1c\x85\xa0\u200b\u3000"), st.sampled_from("ΑΣςσİıẞßﬁÅÅǅ\u0300\u0338\u093c\u095c\u0958한글각½Ⅷ²１\u1100\u1161"), st.characters(codec="utf-8"))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(CHARACTERS, max_size=60), min_size=1, max_size=8))
+def test_encoder_has_the_library_s_ids(texts):
+    enc = bitplane.encoder(bitplane.default_tokenizer())
+    assert enc.pieces
+    ids, at = enc.rows(pa.array(texts))
+    want = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want
+    assert enc.lengths(pa.array(texts)).tolist() == [len(w) for w in want]
+
+
+def test_encoder_forgets_and_takes_other_tokenizers():
+    import public_tokenizers
+
+    texts = ["ΑΣ. ΟΔΟΣ hello", "don't WE'LL a<|endoftext|>b <|STARTOFTEXT|>", "", "***", "word, word. Word!"] + [prose(400, k) for k in range(5)]
+    for path, pieces in ((bitplane.default_tokenizer(), True), (public_tokenizers.path("byte_bpe_50k.json"), False)):
+        enc = bitplane.Encoder(path, most=500)
+        assert enc.pieces == pieces
+        for _ in range(2):
+            ids, at = enc.rows(pa.array(texts))
+            assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 @pytest.mark.parametrize("planes", [1, 8])

@@ -21,7 +21,8 @@ def test_stages(spark, tmp_path):
     kept = stages["quality rules"](spark, docs, d)
     assert kept.columns == columns
     ids = {r.doc_id for r in kept.select("doc_id").collect()}
-    assert ids >= set(range(24)) | {200} and not ids & {27, 28, 29, 31, 33, 34}
+    # document 19 has 81 of its 155 words in repeated windows, so the base rules reject it
+    assert ids >= set(range(24)) - {19} | {200} and 19 not in ids and not ids & {27, 28, 29, 31, 33, 34}
     want = quality.score_documents(docs.drop("score", "kept", "bins_"), spark.read.parquet(f"{d}/labels.parquet")).where("kept").count()
     assert kept.count() == want
     kept = corpus_pipeline.save(kept, "kept")
