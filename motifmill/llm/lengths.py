@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motifmill.llm import bitplane, text
+from motifmill.llm.shared import in_arrow, save
 
 #: Neighbouring lengths that one range of the two-level suffix sums has.
 RANGE = 512
@@ -17,18 +18,23 @@ def _counts(path: str):
     def run(batches):
         enc = bitplane.encoder(path)
         for batch in batches:
-            lens = [np.diff(at) for _, _, at in bitplane.encode_groups(text.column(batch, "text"), enc)]
+            lens = [enc.lengths(part) for _, part in bitplane.groups(text.column(batch, "text"))]
             n, docs = np.unique(np.concatenate([np.zeros(0, np.int64), *lens]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(docs.astype(np.int64))], ["n_tokens", "n_docs"])
+        enc.forget()
 
     return run
 
 
 def histogram(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """(n_tokens, n_docs) of all whole texts, without special tokens; null text is empty, repeated rows count each."""
+    """(n_tokens, n_docs) of all whole texts, without special tokens; null text is empty, repeated rows count each.
+
+    Written in the shared folder, so that its readers don't encode the texts again. No rows give none; other
+    columns don't matter, and the order of rows with equal lengths neither.
+    """
     d = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    parts = d.mapInArrow(_counts(tokenizer or bitplane.default_tokenizer()), "n_tokens long, n_docs long")
-    return parts.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    parts = in_arrow(d, _counts(tokenizer or bitplane.default_tokenizer()), "n_tokens long, n_docs long")
+    return save(parts.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")), "lengths")
 
 
 def limits(hist: DataFrame, width: int = RANGE) -> DataFrame:
