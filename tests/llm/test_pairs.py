@@ -35,25 +35,65 @@ def classes_of(rows, links):
     return root
 
 
-@pytest.mark.parametrize("side, large", [(256, 64), (2, 2)])
+@pytest.mark.parametrize("side, large", [(1024, 64), (3, 2)])
 def test_join_against_brute_force(spark, monkeypatch, side, large):
-    monkeypatch.setattr(chosenpath, "SIDE", side)
+    """The small sizes make large buckets and classes of several blocks of what is one block otherwise."""
     monkeypatch.setattr(chosenpath, "LARGE", large)
     rows = documents()
     base = prose(90, 7).split()
     r = random.Random(4)
-    for i in range(12):  # a group of near copies that differ
+    for i in range(24):  # a group of near copies that differ, some of them from some by too much
         w = list(base)
-        w[r.randrange(90)] = f"w{i}"
+        for k in range(1 + i % 3):
+            w[r.randrange(90)] = f"w{i}.{k}"
         rows.append((100 + i, " ".join(w), *rows[0][2:]))
     links = similar_rows(rows)
     root = classes_of(rows, links)
     want = sorted((str(r[0]), str(root[i]), len(links[i])) for i, r in enumerate(rows))
-    got = sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in chosenpath.join(frame(spark, rows)).collect())
+    got = sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in chosenpath.classes(frame(spark, rows), side=side).collect())
     assert got == want
     assert any(n > 2 for _, _, n in want)
 
 
+def test_rows_grow_with_the_sets_and_not_with_their_pairs(spark):
+    """Edges of a group of alike signatures, of many blocks."""
+    r = np.random.default_rng(1)
+    base = r.integers(0, 1 << 32, chosenpath.COORDS, np.uint32)
+    rows = []
+    for i in range(300):
+        sig = base.copy()
+        sig[r.integers(0, chosenpath.COORDS, 4)] = r.integers(0, 1 << 32, 4, np.uint32)
+        rows.append((i, bytearray(sig.tobytes())))
+    sets = spark.createDataFrame(rows, "set_id long, sig binary")
+    got = chosenpath.proposed_classes(sets, side=10)
+    assert {r.set_id for r in got.collect()} == set(range(300)) and got.select("root").distinct().count() == 1
+    groups = [("bucket", k, 0, i, bytes(rows[i][1])) for k in range(30) for i in sorted({*range(10), *range(10 * k, 10 * k + 10)})]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("bucket", "at", "m", "set_id", "sig"), (1, *g[1:]))) for g in groups])
+    assert sum(b.num_rows for b in chosenpath._proposals(0.625)([batch])) <= len(groups)
+
+
+def test_runs_reach_the_recall():
+    """Splits of random signatures, as `missed` reckons them."""
+    r = np.random.default_rng(2)
+    rate, agree, trials = 1 / 51.2, 51, 4000
+    met = 0
+    for _ in range(trials):
+        paths = 1
+        for _ in range(chosenpath.DEPTH):
+            paths = r.binomial(agree * paths, rate)
+        met += paths > 0
+    assert 1 - met / trials == pytest.approx(chosenpath.missed(agree, rate), abs=0.03)
+    assert chosenpath.runs_needed(0.999) > chosenpath.runs_needed(0.9)
+
+
+def test_blocks_share_n_grams():
+    r = np.random.default_rng(3)
+    a, b = ([np.unique(r.integers(0, 40, r.integers(1, 30)).astype(np.uint64)) for _ in range(n)] for n in (5, 7))
+    size = lambda x: np.array([len(s) for s in x])
+    got = chosenpath._shared(size(a), np.concatenate(a), size(b), np.concatenate(b))
+    assert got.tolist() == [[len(set(x) & set(y)) for y in b] for x in a]
+
+
 def test_one_of_each(spark):
     rows = documents()
     root = classes_of(rows, similar_rows(rows))
@@ -100,7 +140,7 @@ def test_fenwick_chains_score_as_all_pairs_do():
 def test_alignment_goes_over_edits():
     a = np.arange(100, 200).astype("<u2")
     b = np.concatenate([a[:30], [7, 8], a[30:60], a[61:80], [9], a[81:]]).astype("<u2")
-    s, e, t, f, equal = chaining.align(a, b, 10, 10)
+    s, e, t, f, equal = chaining.align(a.tolist(), b.tolist(), 10, 10)
     assert (s, e, t, f, equal) == (0, 100, 0, 101, 98)
 
 
@@ -160,7 +200,7 @@ def test_alignment_ends_with_its_passage():
     b[100:140] = a[100:140]
     for i in range(150, 290, 20):  # a few equal words here and there
         b[i : i + 3] = a[i : i + 3]
-    assert chaining.align(a, b, 110, 110) == (100, 140, 100, 140, 40)
+    assert chaining.align(a.tolist(), b.tolist(), 110, 110) == (100, 140, 100, 140, 40)
 
 
 def test_wand_finds_what_scoring_all_finds():
