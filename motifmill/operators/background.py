@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motifmill.functions import patterns as P
+from motifmill.session import save
 
 
 def _number(*parts: Column) -> Column:
@@ -30,11 +33,24 @@ def pool(refs: DataFrame, shortest: int, longest: int, shuffled: bool = True, se
 
 
 def samples(refs: DataFrame, n_samples: int, size: int, seed: str = "7") -> DataFrame:
-    """(sample_id, ref_id): for each sample the `size` references of the least hash, a draw without replacement."""
-    d = refs.select("ref_id", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("sample_id"))
+    """(sample_id, ref_id): for each sample the `size` references of the least hash, a draw without replacement.
+
+    Only references whose hash is below a bound that `size` of them hardly ever miss are ranked, so that the
+    rows of a sample are about those drawn and not the whole pool; should a sample have fewer, all are ranked.
+    Written in the shared folder.
+    """
+    every = refs.select("ref_id", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("sample_id"))
     h = F.md5(F.concat(F.lit(seed), F.col("sample_id").cast("string"), F.lit("/"), F.col("ref_id").cast("string")).cast("binary"))
+    every = every.withColumn("h", h)
+    n = refs.count()
     w = Window.partitionBy("sample_id").orderBy("h", "ref_id")  # the window's limit is applied before the shuffle too
-    return d.withColumn("h", h).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= size).select("sample_id", "ref_id")
+    drawn = lambda d: save(d.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= size).select("sample_id", "ref_id"), "samples")
+    bound = (size + 8 * math.sqrt(size) + 8) / max(n, 1)
+    if bound < 1:
+        out = drawn(every.where(F.left("h", F.lit(8)) <= f"{int(bound * (1 << 32)):08x}"))
+        if out.count() == n_samples * size:
+            return out
+    return drawn(every)
 
 
 def sampled_coverage(ref_words: DataFrame, drawn: DataFrame, key: str) -> DataFrame:
@@ -75,20 +91,34 @@ def p_values(words: DataFrame, hist: DataFrame, key: str = "kmer", weight: float
     return out.select(key, F.col("c").alias("cov"), basic.alias("p_basic"), ((F.col("over") + F.col("half")) / F.col("n")).alias("p_half"), F.when(F.col("over") > 0, basic).otherwise(tail).alias("p_extrapolated"))
 
 
+def _spread(drawn: Column, with_word: Column, size: Column) -> tuple[Column, Column]:
+    """The mean of a hypergeometric number, and a distance from it beyond which what is left is below 1e-30."""
+    mean = drawn * with_word / F.greatest(size, F.lit(1).cast("long"))
+    sd = F.sqrt(mean * (1 - with_word / F.greatest(size, F.lit(1).cast("long"))))
+    return F.floor(mean).cast("long"), F.ceil(12 * sd).cast("long") + 40
+
+
 def exact_p(cov: Column, drawn: Column, with_word: Column, size: Column) -> Column:
-    """P(X >= cov) where X is hypergeometric: `drawn` sequences out of `size`, of which `with_word` have the word."""
-    upto = F.least(with_word, drawn)
+    """P(X >= cov) where X is hypergeometric: `drawn` sequences out of `size`, of which `with_word` have the word.
+
+    Terms further than 12 standard deviations (and 40) from the mean are left out, so an array of terms has
+    the order of the square root of the number of sequences.
+    """
     term = lambda x: F.exp(P.log_choose(with_word, x) + P.log_choose(size - with_word, drawn - x) - P.log_choose(size, drawn))
-    low = F.greatest(cov, drawn + with_word - size, F.lit(0).cast("long"))
+    mean, far = _spread(drawn, with_word, size)
+    low = F.greatest(cov, drawn + with_word - size, F.lit(0).cast("long"), mean - far)
+    upto = F.least(with_word, drawn, F.greatest(mean, cov) + far)
     terms = F.when(low <= upto, F.transform(F.sequence(low, upto), term)).otherwise(F.array().cast("array<double>"))
     return F.least(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), F.lit(1.0))
 
 
 def fisher(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Two-sided p of the table ((a, b), (c, d)): the sum of all tables' probabilities that don't exceed this one's."""
+    """Two-sided p of the table ((a, b), (c, d)): the sum of all tables' probabilities that don't exceed this one's, without those of terms as in `exact_p`."""
     row, col, n = a + b, a + c, a + b + c + d
     log_p = lambda x: P.log_choose(row, x) + P.log_choose(n - row, col - x) - P.log_choose(n, col)
-    low, high = F.greatest(F.lit(0).cast("long"), col - (n - row)), F.least(row, col)
+    mean, far = _spread(row, col, n)
+    low = F.greatest(F.lit(0).cast("long"), col - (n - row), F.least(a, mean) - far)
+    high = F.least(row, col, F.greatest(a, mean) + far)
     here = F.exp(log_p(a)) * (1 + 1e-7)
     terms = F.filter(F.transform(F.sequence(low, high), lambda x: F.exp(log_p(x))), lambda p: p <= here)
     return F.least(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), F.lit(1.0))

@@ -44,13 +44,14 @@ def by_title(seqs: DataFrame, length: int = 3) -> DataFrame:
     return seqs.withColumn("species", F.left("title", F.lit(length)))
 
 
-def segments(wanted: DataFrame, seqs: DataFrame, modulo: int) -> DataFrame:
-    """(id, first, last) looked up in the sequences of the same key class: the shortest piece [first, last], ties to the least seq_id."""
-    w = wanted.withColumn("key", F.col("id") % modulo)
-    s = seqs.withColumn("key", F.col("seq_id") % modulo)
-    piece = F.substring("seq", (F.col("first") + 1).cast("int"), (F.col("last") - F.col("first") + 1).cast("int"))
-    d = w.join(s, "key").select("id", "seq_id", piece.alias("piece"))
-    return d.groupBy("id").agg(F.min(F.struct(F.length("piece").alias("n"), "seq_id", "piece")).alias("b")).select(F.col("id").alias("s_suppkey"), F.col("b.piece").alias("seq"))
+def segments(wanted: DataFrame, seqs: DataFrame) -> DataFrame:
+    """(id, accession, seq): of each id's intervals (id, accession, first, last) the shortest, cut from that accession's sequence.
+
+    Ties go to the least accession, then the first place; accessions that no sequence has are left out.
+    """
+    one = wanted.groupBy("id").agg(F.min(F.struct((F.col("last") - F.col("first")).alias("n"), "accession", "first")).alias("w"))
+    d = one.join(seqs.select("seq_id", "seq"), F.col("w.accession") == F.col("seq_id"))
+    return d.select("id", F.col("w.accession").alias("accession"), F.substring("seq", (F.col("w.first") + 1).cast("int"), (F.col("w.n") + 1).cast("int")).alias("seq"))
 
 
 def event_strings(events: DataFrame) -> DataFrame:

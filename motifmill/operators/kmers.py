@@ -46,21 +46,34 @@ def apriori(cov: DataFrame, k: int, least: float) -> DataFrame:
     return d
 
 
+def holders(seqs: DataFrame, words: DataFrame) -> DataFrame:
+    """(seq_id, seq, kmer) of each sequence and each of the words that it has, by an equi-join with the sequences' distinct k-mers."""
+    lengths = [r.n for r in words.select(F.length("kmer").alias("n")).distinct().collect()]  # a handful of numbers
+    every = F.flatten(F.array(*[F.array_distinct(P.kmers(F.col("seq"), n)) for n in sorted(lengths)])) if lengths else F.array().cast("array<string>")
+    d = seqs.select("seq_id", "seq", F.explode(every).alias("kmer"))
+    return d.join(words.select("kmer").distinct(), "kmer", "left_semi")
+
+
 def visits(seqs: DataFrame, words: DataFrame) -> DataFrame:
-    """(kmer, visits, cov) with occurrences counted left to right without overlap; words is a list of bounded size."""
-    d = seqs.join(F.broadcast(words.select("kmer")), F.col("seq").contains(F.col("kmer")))
+    """(kmer, visits, cov) with occurrences counted left to right without overlap."""
     n = (F.length("seq") - F.length(F.replace("seq", F.col("kmer"), F.lit("")))) / F.length("kmer")
-    return d.groupBy("kmer").agg(F.sum(n.cast("long")).alias("visits"), F.count("*").alias("cov"))
+    return holders(seqs, words).groupBy("kmer").agg(F.sum(n.cast("long")).alias("visits"), F.count("*").alias("cov"))
 
 
 def visits_from_right(seqs: DataFrame, words: DataFrame) -> DataFrame:
     """(kmer, seq_id, pos) counted right to left without overlap: the reversed sequence is searched for the reversed k-mer."""
-    d = seqs.join(F.broadcast(words.select("kmer")), F.col("seq").contains(F.col("kmer")))
     parts = F.split(F.reverse("seq"), F.reverse("kmer"))  # k-mers have letters only, so they are their own pattern
     k = F.length("kmer")
     gaps = F.slice(parts, 1, F.size(parts) - 1)
     ends = F.transform(gaps, lambda g, i: F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda s, x: s + F.length(x)) + (i + 1) * k)
-    return d.select("kmer", "seq_id", F.explode_outer(F.transform(ends, lambda e: (F.length("seq") - e).cast("long"))).alias("pos")).where("pos is not null")
+    return holders(seqs, words).select("kmer", "seq_id", F.explode(F.transform(ends, lambda e: (F.length("seq") - e).cast("long"))).alias("pos"))
+
+
+def decoded(bitmaps: DataFrame) -> DataFrame:
+    """(kmer, seq_id) of (kmer, bucket, bits), undoing `layer_bitmaps`: bucket b, bit i is sequence 32768 (b - 1) + i."""
+    octet = bitmaps.select("kmer", "bucket", F.posexplode(F.regexp_extract_all(F.hex("bits"), F.lit("(..)"), 1)).alias("i", "hex")).where("hex <> '00'")
+    d = octet.select("kmer", "bucket", "i", F.conv("hex", 16, 10).cast("int").alias("octet"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit"))
+    return d.where(F.shiftright("octet", F.lit(0)).bitwiseAND(F.expr("shiftleft(1, bit)")) > 0).select("kmer", ((F.col("bucket") - 1) * 32768 + F.col("i") * 8 + F.col("bit")).cast("long").alias("seq_id"))
 
 
 def edges(kmers: DataFrame) -> DataFrame:
@@ -114,3 +127,8 @@ def layer_bitmaps(kmers: DataFrame) -> DataFrame:
     """Coverage as bitmaps: (k, kmer, bucket, bits); their union and count stay in the JVM."""
     s = kmers.select("k", "kmer", "seq_id").distinct()
     return s.groupBy("k", "kmer", F.bitmap_bucket_number("seq_id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("seq_id")).alias("bits"))
+
+
+def dimer_lengths(edges: DataFrame) -> DataFrame:
+    """(seq_id, n): a sequence's number of 2-mers, one more than its edges."""
+    return edges.groupBy("seq_id").agg((F.count("*") + 1).alias("n"))

@@ -21,7 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 KS = [2, 3, 4, 5, 6]
 K = 4
-SAMPLES, DRAWN = 20, 200
+SAMPLES = 20
 
 
 def query(sql: str | None = None):
@@ -67,8 +67,10 @@ def patterns(spark, d):
     return save(p.where(~F.exists(P.positions(F.col("pattern")), lambda c: F.length(c) >= 4)), "patterns")
 
 
-def top_words(spark, d, n=12):
-    return kmers.top(cov(spark, d), n).select("kmer")
+def outstanding(spark, d):
+    """k-mers two standard deviations over the mean coverage."""
+    c = save(cov(spark, d), "cov")
+    return c.join(F.broadcast(c.agg((F.avg("cov") + 2 * F.stddev_samp("cov")).alias("least"))), F.col("cov") > F.col("least")).select("kmer")
 
 
 _HEX = "'0123456789abcdef','ACGUACGUACGUACGU'"
@@ -82,7 +84,8 @@ def km(ks, source="pos", name="km", ident="seq_id", seq="seq"):
 
 
 COV = "cov AS (SELECT k, kmer, count(*) AS visits, count(DISTINCT seq_id) AS cov FROM km GROUP BY k, kmer)"
-WORDS = "words AS (SELECT kmer FROM (SELECT kmer, row_number() OVER (ORDER BY cov DESC, kmer) AS r FROM cov) WHERE r <= 12)"
+#: k-mers that stand out: two standard deviations over the layer's mean coverage.
+WORDS = "words AS (SELECT kmer FROM cov WHERE cov > (SELECT avg(cov) + 2 * stddev_samp(cov) FROM cov))"
 PATTERNS = """pats AS (SELECT * FROM (SELECT left(kmer, 2) || CASE WHEN count(*) > 1 THEN '[' || string_agg(substr(kmer, 3, 1), '' ORDER BY substr(kmer, 3, 1)) || ']' ELSE min(substr(kmer, 3, 1)) END || right(kmer, 1) AS pattern,
  left(kmer, 2) || '?' || right(kmer, 1) AS g, string_agg(substr(kmer, 3, 1), '' ORDER BY substr(kmer, 3, 1)) AS letters
  FROM cov WHERE cov > (SELECT avg(cov) FROM cov) GROUP BY left(kmer, 2), right(kmer, 1)) WHERE length(letters) < 4)"""
@@ -128,15 +131,15 @@ def kmer_universe(spark, d):
     return u.join(cov(spark, d), "kmer", "left").select("kmer", F.coalesce("cov", F.lit(0)).alias("cov"))
 
 
-@query(f"{BASE}, {WORDS} SELECT kmer, sum(length(regexp_extract_all(seq, kmer)))::BIGINT AS visits, count(*) AS cov FROM pos, words WHERE contains(seq, kmer) GROUP BY kmer")
+@query(f"{BASE} SELECT kmer, sum(length(regexp_extract_all(seq, kmer)))::BIGINT AS visits, count(*) AS cov FROM pos, (SELECT kmer FROM cov) WHERE contains(seq, kmer) GROUP BY kmer")
 def kmer_visits_nonoverlap(spark, d):
-    return kmers.visits(positives(spark, d), top_words(spark, d))
+    return kmers.visits(positives(spark, d), cov(spark, d))
 
 
-@query(f"""{BASE}, {WORDS}, parts AS (SELECT kmer, seq_id, length(seq) AS n, string_split(reverse(seq), reverse(kmer)) AS p FROM pos, words WHERE contains(seq, kmer))
+@query(f"""{BASE}, parts AS (SELECT kmer, seq_id, length(seq) AS n, string_split(reverse(seq), reverse(kmer)) AS p FROM pos, (SELECT kmer FROM cov) WHERE contains(seq, kmer))
 SELECT kmer, seq_id, (n - list_sum(list_transform(p[1:i], lambda x: length(x))) - i * 4)::BIGINT AS pos FROM parts, range(1, 33) r(i) WHERE i < length(p)""")
 def kmer_visits_rtl(spark, d):
-    return kmers.visits_from_right(positives(spark, d), top_words(spark, d))
+    return kmers.visits_from_right(positives(spark, d), cov(spark, d))
 
 
 @query(f"WITH {SEQ}, {km([2])}, {EDGES} SELECT start_node, end_node, start_node || right(end_node, 1) AS title, count(*) AS weight, count(DISTINCT seq_id) AS cov FROM edges GROUP BY ALL")
@@ -314,21 +317,20 @@ def layer_coverage_drop(spark, d):
     return kmers.layer_coverage(i.join(good, ["k", "kmer"], "left_semi"), n)
 
 
-@query(f"{BASE}, {WORDS}, s AS (SELECT DISTINCT kmer, seq_id FROM km JOIN words USING (kmer)), n AS (SELECT kmer, count(*) AS n FROM s GROUP BY kmer), c AS (SELECT a.kmer AS a, b.kmer AS b, count(*) AS common FROM s a JOIN s b USING (seq_id) WHERE a.kmer > b.kmer GROUP BY ALL) SELECT c.a, c.b, round(common / (x.n + y.n - common), 9) AS similarity FROM c JOIN n x ON x.kmer = c.a JOIN n y ON y.kmer = c.b")
+@query(f"{BASE}, s AS (SELECT DISTINCT kmer, seq_id FROM km), n AS (SELECT kmer, count(*) AS n FROM s GROUP BY kmer), c AS (SELECT a.kmer AS a, b.kmer AS b, count(*) AS common FROM s a JOIN s b USING (seq_id) WHERE a.kmer > b.kmer GROUP BY ALL) SELECT c.a, c.b, round(common / (x.n + y.n - common), 9) AS similarity FROM c JOIN n x ON x.kmer = c.a JOIN n y ON y.kmer = c.b")
 def coverage_jaccard(spark, d):
-    s = index(spark, d).join(top_words(spark, d), "kmer", "left_semi").select("kmer", "seq_id")
-    return graphs.jaccard(s).withColumn("similarity", F.round("similarity", 9))
+    return graphs.jaccard(index(spark, d).select("kmer", "seq_id")).withColumn("similarity", F.round("similarity", 9))
 
 
 @query(f"{BASE}, {WORDS} SELECT count(DISTINCT seq_id) AS cov FROM km JOIN words USING (kmer)")
 def coverage_bitmap(spark, d):
-    bits = kmers.layer_bitmaps(index(spark, d).join(top_words(spark, d), "kmer", "left_semi"))
+    bits = kmers.layer_bitmaps(index(spark, d).join(outstanding(spark, d), "kmer", "left_semi"))
     return bits.groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits")).agg(F.sum(F.bitmap_count("bits")).alias("cov"))
 
 
 @query(f"{BASE}, {WORDS} SELECT seq_id FROM pos WHERE seq_id NOT IN (SELECT seq_id FROM km JOIN words USING (kmer))")
 def uncovered_sequences(spark, d):
-    hit = index(spark, d).join(top_words(spark, d), "kmer", "left_semi")
+    hit = index(spark, d).join(outstanding(spark, d), "kmer", "left_semi")
     return positives(spark, d).join(hit, "seq_id", "left_anti").select("seq_id")
 
 
@@ -377,7 +379,7 @@ def align_offset(spark, d):
 _NUM = "('0x' || substr(md5('7{0}' || ref_id::VARCHAR), 1, 8))::BIGINT"
 POOL = f"""{REF}, sized AS (SELECT *, 20 + {_NUM.format("n")} % 9 AS n FROM refs), cut AS (SELECT ref_id, substr(seq, ({_NUM.format("s")} % (32 - n + 1) + 1)::BIGINT, n::BIGINT) AS seg0 FROM sized),
 ref_pool AS (SELECT ref_id, string_agg(substr(seg0, i + 1, 1), '' ORDER BY md5('7' || ref_id || '/' || i)) AS seg FROM cut, range(0, 32) r(i) WHERE i < length(seg0) GROUP BY ref_id)"""
-DRAW = f"drawn AS (SELECT sample_id, ref_id FROM (SELECT s AS sample_id, ref_id, row_number() OVER (PARTITION BY s ORDER BY md5('7' || s || '/' || ref_id), ref_id) AS nth FROM refs, range(0, {SAMPLES}) r(s)) WHERE nth <= {DRAWN})"
+DRAW = f"drawn AS (SELECT sample_id, ref_id FROM (SELECT s AS sample_id, ref_id, row_number() OVER (PARTITION BY s ORDER BY md5('7' || s || '/' || ref_id), ref_id) AS nth FROM refs, range(0, {SAMPLES}) r(s)) WHERE nth <= (SELECT count(*) FROM pos))"
 RK = km([K], "ref_pool", "rk", "ref_id", "seg")
 
 
@@ -386,7 +388,8 @@ def _pool(spark, d):
 
 
 def _drawn(spark, d):
-    return background.samples(references(spark, d), SAMPLES, DRAWN)
+    """Samples of as many references as there are positive sequences."""
+    return background.samples(references(spark, d), SAMPLES, positives(spark, d).count())
 
 
 def _ref_words(spark, d):
@@ -394,19 +397,13 @@ def _ref_words(spark, d):
     return kmers.index(p.select(F.col("ref_id").alias("seq_id"), F.col("seg").alias("seq")), [K]).select("kmer", F.col("seq_id").alias("ref_id")).distinct()
 
 
-def _subset(spark, d):
-    """Coverage among the first DRAWN positive sequences, as many as a sample has."""
-    few = positives(spark, d).orderBy("seq_id").limit(DRAWN)
-    return kmers.coverage(kmers.index(few, [K], fasta.RNA)).select("kmer", "cov")
-
-
-SUB = f"WITH {SEQ}, few AS (SELECT * FROM pos ORDER BY seq_id LIMIT {DRAWN}), {km([K], 'few')}, words AS (SELECT kmer, count(DISTINCT seq_id) AS cov FROM km GROUP BY kmer), {POOL}, {DRAW}, {RK}"
+SUB = f"WITH {SEQ}, {km([K])}, words AS (SELECT kmer, count(DISTINCT seq_id) AS cov FROM km GROUP BY kmer), {POOL}, {DRAW}, {RK}"
 HIST = f"""{SUB}, sc AS (SELECT kmer, sample_id, count(DISTINCT ref_id) AS cov FROM rk JOIN drawn USING (ref_id) GROUP BY ALL), hits AS (SELECT kmer, cov, count(*) AS freq FROM sc WHERE kmer IN (SELECT kmer FROM words) GROUP BY ALL),
 hist AS (SELECT * FROM (FROM hits UNION ALL SELECT w.kmer, 0, {SAMPLES} - coalesce((SELECT sum(freq) FROM hits h WHERE h.kmer = w.kmer), 0)::BIGINT FROM words w) WHERE freq > 0)"""
 
 
 def _hist(spark, d):
-    words = save(_subset(spark, d), "words")
+    words = save(cov(spark, d).select("kmer", "cov"), "words")
     sampled = background.sampled_coverage(_ref_words(spark, d).join(words, "kmer", "left_semi"), _drawn(spark, d), "kmer")
     return words, save(background.histograms(words, sampled, SAMPLES, "kmer"), "hist")
 
@@ -416,7 +413,7 @@ def bg_pool(spark, d):
     return _pool(spark, d)
 
 
-@query(f"WITH {REF}, {DRAW} SELECT sample_id::INTEGER AS sample_id, ref_id FROM drawn")
+@query(f"WITH {SEQ}, {REF}, {DRAW} SELECT sample_id::INTEGER AS sample_id, ref_id FROM drawn")
 def bg_samples(spark, d):
     return _drawn(spark, d)
 
@@ -448,24 +445,24 @@ def kmer_pvalues(spark, d):
     return p.select("kmer", "cov", *[F.round(c, 9).alias(c) for c in ("p_basic", "p_half", "p_extrapolated")])
 
 
-_EXACT = """m AS (SELECT count(*) AS size FROM ref_pool), rc AS (SELECT kmer, count(DISTINCT ref_id) AS c FROM rk GROUP BY kmer),
-x AS (SELECT w.kmer, w.cov, coalesce(c, 0) AS c, size, unnest(range(w.cov, least(coalesce(c, 0), {n}) + 1)) AS x FROM words w LEFT JOIN rc USING (kmer), m),
-lf AS (SELECT kmer, cov, exp(lgamma(c + 1) - lgamma(x + 1) - lgamma(c - x + 1) + lgamma(size - c + 1) - lgamma({n} - x + 1) - lgamma(size - c - {n} + x + 1) - lgamma(size + 1) + lgamma({n} + 1) + lgamma(size - {n} + 1)) AS p FROM x WHERE x >= {n} + c - size)"""
+_EXACT = """m AS (SELECT count(*) AS size, (SELECT count(*) FROM pos) AS n FROM ref_pool), rc AS (SELECT kmer, count(DISTINCT ref_id) AS c FROM rk GROUP BY kmer),
+x AS (SELECT w.kmer, w.cov, coalesce(c, 0) AS c, size, n, unnest(range(w.cov, least(coalesce(c, 0), n) + 1)) AS x FROM words w LEFT JOIN rc USING (kmer), m),
+lf AS (SELECT kmer, cov, exp(lgamma(c + 1) - lgamma(x + 1) - lgamma(c - x + 1) + lgamma(size - c + 1) - lgamma(n - x + 1) - lgamma(size - c - n + x + 1) - lgamma(size + 1) + lgamma(n + 1) + lgamma(size - n + 1)) AS p FROM x WHERE x >= n + c - size)"""
 
 
-@query(f"{SUB}, {_EXACT.format(n=DRAWN)} SELECT kmer, w.cov, round(least(coalesce(sum(p), 0), 1), 6) AS p FROM words w LEFT JOIN lf USING (kmer) GROUP BY kmer, w.cov")
+@query(f"{SUB}, {_EXACT} SELECT kmer, w.cov, round(least(coalesce(sum(p), 0), 1), 6) AS p FROM words w LEFT JOIN lf USING (kmer) GROUP BY kmer, w.cov")
 def pvalue_exact(spark, d):
-    ref = save(_ref_words(spark, d), "ref_words")
-    size = _pool(spark, d).count()
-    d2 = _subset(spark, d).join(ref.groupBy("kmer").agg(F.count("*").alias("c")), "kmer", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    drawn = F.lit(DRAWN).cast("long")
-    return d2.select("kmer", "cov", F.round(background.exact_p(F.col("cov"), drawn, F.col("c"), F.lit(size).cast("long")), 6).alias("p"))
+    pool = save(_pool(spark, d), "pool")
+    ref = kmers.coverage(kmers.index(pool.select(F.col("ref_id").alias("seq_id"), F.col("seg").alias("seq")), [K])).select("kmer", F.col("cov").alias("c"))
+    d2 = cov(spark, d).select("kmer", "cov").join(ref, "kmer", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    number = lambda n: F.lit(n).cast("long")
+    return d2.select("kmer", "cov", F.round(background.exact_p(F.col("cov"), number(positives(spark, d).count()), F.col("c"), number(pool.count())), 6).alias("p"))
 
 
-_FEWP = f"WITH {SEQ}, {km([K])}, {COV}, {PATTERNS}, {EXPANDED}, {POOL}, {DRAW}, {RK}, few AS (SELECT seq_id FROM pos ORDER BY seq_id LIMIT {DRAWN})"
+_FEWP = f"WITH {SEQ}, {km([K])}, {COV}, {PATTERNS}, {EXPANDED}, {POOL}, {DRAW}, {RK}"
 
 
-@query(f"""{_FEWP}, words AS (SELECT pattern, count(DISTINCT seq_id) AS cov FROM expd JOIN km USING (kmer) WHERE seq_id IN (SELECT seq_id FROM few) GROUP BY pattern),
+@query(f"""{_FEWP}, words AS (SELECT pattern, count(DISTINCT seq_id) AS cov FROM expd JOIN km USING (kmer) GROUP BY pattern),
 sc AS (SELECT pattern, sample_id, count(DISTINCT ref_id) AS cov FROM expd JOIN rk USING (kmer) JOIN drawn USING (ref_id) GROUP BY ALL), hits AS (SELECT pattern, cov, count(*) AS freq FROM sc GROUP BY ALL),
 hist AS (SELECT * FROM (FROM hits UNION ALL SELECT w.pattern, 0, {SAMPLES} - coalesce((SELECT sum(freq) FROM hits h WHERE h.pattern = w.pattern), 0)::BIGINT FROM words w) WHERE freq > 0),
 j AS (SELECT w.pattern, w.cov AS c, h.cov, h.freq FROM words w JOIN hist h USING (pattern)), a AS (SELECT pattern, c, sum(freq) AS n, coalesce(sum(freq) FILTER (cov >= c), 0) AS o, max_by(freq, cov) FILTER (cov < c) AS bf, max(cov) FILTER (cov < c) AS bc FROM j GROUP BY ALL)
@@ -473,8 +470,7 @@ SELECT pattern, c AS cov, round(least((CASE WHEN o > 0 THEN o / n ELSE bf * pow(
 def pattern_pvalue(spark, d):
     pats = patterns(spark, d)
     tests = pats.count()
-    few = kmers.index(positives(spark, d).orderBy("seq_id").limit(DRAWN), [K], fasta.RNA)
-    words = save(degenerate.coverage(pats, few), "words")
+    words = save(degenerate.coverage(pats, index(spark, d)), "words")
     ref = degenerate.expansions(pats).join(_ref_words(spark, d), "kmer").select("pattern", "ref_id").distinct()
     hist = background.histograms(words, background.sampled_coverage(ref, _drawn(spark, d), "pattern"), SAMPLES, "pattern")
     p = background.p_values(words, hist, "pattern")
@@ -502,11 +498,12 @@ def value_histogram(spark, d):
     return compare.histogram(table(spark, d, "lineitem"), "l_quantity", 1, 51, 5)
 
 
-@query("SELECT event_type AS value, count(*) AS n, count(DISTINCT user_id) AS users, string_agg(CASE WHEN event_id < 50 THEN event_id::VARCHAR END, ',' ORDER BY event_id) AS first_ids FROM events GROUP BY ALL")
+@query("SELECT event_type AS value, count(*) OVER (PARTITION BY event_type) AS n, event_id AS id FROM events")
 def value_freq(spark, d):
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("event_id") < 50, F.col("event_id")))), lambda x: x.cast("string")), ",")
-    e = table(spark, d, "events").groupBy(F.col("event_type").alias("value")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), ids.alias("first_ids"))
-    return e.withColumn("first_ids", F.when(F.col("first_ids") != "", F.col("first_ids")))
+    """Every value's count and the ids that have it, one row for each id."""
+    e = table(spark, d, "events")
+    n = e.groupBy(F.col("event_type").alias("value")).agg(F.count("*").alias("n"))
+    return e.select(F.col("event_type").alias("value"), F.col("event_id").alias("id")).join(n, "value").select("value", "n", "id")
 
 
 @query(f"""WITH {SEQ}, {NEG}, {km([3])}, {km([3], 'neg', 'nm')}, u AS (SELECT kmer, 'pos' AS side, count(DISTINCT seq_id) / (SELECT count(*) FROM pos) AS rate FROM km GROUP BY kmer UNION ALL SELECT kmer, 'neg', count(DISTINCT seq_id) / (SELECT count(*) FROM neg) FROM nm GROUP BY kmer)
@@ -529,13 +526,13 @@ def posneg_split(spark, d):
     return compare.split_by_weight(positives(spark, d).join(w, "seq_id"), 750)
 
 
-_UNI = f"WITH {SEQ}, {NEG}"
-
-
-@query(f"{_UNI} SELECT s_suppkey, min_by(seq, {{'l': length(seq), 'i': p}}) AS seq FROM (SELECT s_suppkey, p_partkey AS p, substr(pos.seq, (s_suppkey % 20 + 1)::BIGINT, 8) AS seq FROM supplier JOIN part ON p_partkey % 100 = s_suppkey % 100 JOIN pos ON pos.seq_id = p_partkey) GROUP BY s_suppkey")
+@query(f"""WITH {SEQ}, w AS (SELECT l_orderkey AS id, l_partkey AS accession, l_suppkey % 20 AS "first", l_suppkey % 20 + 3 + l_linenumber AS "last" FROM lineitem),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY "last" - "first", accession, "first") AS nth FROM w) WHERE nth = 1)
+SELECT id, accession, substr(seq, ("first" + 1)::BIGINT, ("last" - "first" + 1)::BIGINT) AS seq FROM one JOIN pos ON accession = seq_id""")
 def segment_lookup(spark, d):
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 20).alias("first"), (F.col("s_suppkey") % 20 + 7).alias("last"))
-    return compare.segments(s, positives(spark, d), 100)
+    first = F.col("l_suppkey") % 20
+    w = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("accession"), first.alias("first"), (first + 3 + F.col("l_linenumber")).alias("last"))
+    return compare.segments(w, positives(spark, d))
 
 
 @query("SELECT user_id, day, length(s) AS letters, greatest(length(s) - 2, 0) AS n_kmers FROM (SELECT user_id, ts::DATE AS day, string_agg(upper(left(event_type, 1)), '' ORDER BY ts, event_id) AS s FROM events GROUP BY ALL)")
@@ -553,10 +550,8 @@ def number_helpers(spark, d):
 @query("""WITH o AS (SELECT o_custkey, list(epoch_ms(o_orderdate) // 86400000) FILTER (o_orderstatus = 'F') AS a, list(epoch_ms(o_orderdate) // 86400000) FILTER (o_orderstatus <> 'F') AS b FROM orders GROUP BY o_custkey)
 SELECT o_custkey, coalesce((SELECT min(y - x) FROM (SELECT unnest(a) AS x), (SELECT unnest(b) AS y) WHERE y > x), -1)::BIGINT AS days FROM o""")
 def least_offset(spark, d):
-    day = F.floor(F.unix_timestamp("o_orderdate") / 86400)
-    done = F.col("o_orderstatus") == "F"
-    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(F.when(done, day)).alias("a"), F.collect_list(F.when(~done, day)).alias("b"))
-    return o.select("o_custkey", N.least_offset(F.col("a"), F.col("b")).alias("days"))
+    o = table(spark, d, "orders").select("o_custkey", F.floor(F.unix_timestamp("o_orderdate") / 86400).alias("day"), (F.col("o_orderstatus") == "F").alias("done"))
+    return N.least_offsets(o, "o_custkey", "day", "done").select("o_custkey", F.col("least").alias("days"))
 
 
 @query(f"WITH {SEQ} SELECT seq_id, i::BIGINT AS n, length(seq) - i + 1 AS runs, left(seq, i::BIGINT) AS first FROM pos, range(1, 4) r(i)")
