@@ -70,10 +70,12 @@ def visits_from_right(seqs: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def decoded(bitmaps: DataFrame) -> DataFrame:
-    """(kmer, seq_id) of (kmer, bucket, bits), undoing `layer_bitmaps`: bucket b, bit i is sequence 32768 (b - 1) + i."""
+    """(kmer, seq_id) of (kmer, bucket, bits), undoing `layer_bitmaps`: bit i of bucket b is sequence 32768 (b - 1) + i + 1 for b > 0, else 32768 b - i."""
     octet = bitmaps.select("kmer", "bucket", F.posexplode(F.regexp_extract_all(F.hex("bits"), F.lit("(..)"), 1)).alias("i", "hex")).where("hex <> '00'")
     d = octet.select("kmer", "bucket", "i", F.conv("hex", 16, 10).cast("int").alias("octet"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit"))
-    return d.where(F.shiftright("octet", F.lit(0)).bitwiseAND(F.expr("shiftleft(1, bit)")) > 0).select("kmer", ((F.col("bucket") - 1) * 32768 + F.col("i") * 8 + F.col("bit")).cast("long").alias("seq_id"))
+    at = F.col("i") * 8 + F.col("bit")
+    ident = F.when(F.col("bucket") > 0, (F.col("bucket") - 1) * 32768 + 1 + at).otherwise(F.col("bucket") * 32768 - at)
+    return d.where("shiftright(octet, bit) & 1 = 1").select("kmer", ident.cast("long").alias("seq_id"))
 
 
 def edges(kmers: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ A sequence set is a DataFrame of seq_id BIGINT, title STRING, seq STRING.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RNA = "ACGU"
@@ -13,19 +13,36 @@ RNA = "ACGU"
 HEX, LETTERS = "0123456789abcdef", "ACGUACGUACGUACGU"
 
 
+def _numbered(d: DataFrame) -> DataFrame:
+    """seq_id: the place in the order of files, of their blocks, and of lines.
+
+    Spark reads a block of a file as a run of rows of one task, in order; how many rows each block has tells
+    where its numbers begin.
+    """
+    d = d.withColumn("row_", F.monotonically_increasing_id())
+    block = d.groupBy("file_", "start_").agg(F.min("row_").alias("first_"), F.count("*").alias("n_"))
+    before = F.coalesce(F.sum("n_").over(Window.orderBy("file_", "start_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each block of a file
+    block = block.select(F.col("file_").alias("f_"), F.col("start_").alias("s_"), (before - F.col("first_")).alias("shift_"))
+    d = d.join(F.broadcast(block), (F.col("file_") == F.col("f_")) & (F.col("start_") == F.col("s_")))
+    return d.withColumn("seq_id", F.col("row_") + F.col("shift_")).drop("row_", "shift_", "file_", "start_", "f_", "s_")
+
+
+def _place() -> list[Column]:
+    return [F.col("_metadata.file_path").alias("file_"), F.col("_metadata.file_block_start").alias("start_")]
+
+
 def single_line(spark: SparkSession, path: str) -> DataFrame:
     """Every line that is neither blank nor a title is one sequence; N, Y and S are deleted."""
     line = F.trim(F.regexp_replace("value", r"\r", ""))
-    d = spark.read.text(path).select(line.alias("line")).where("line <> '' and line not like '>%'")
-    d = d.select(F.lit(None).cast("string").alias("title"), F.translate("line", "NYS", "").alias("seq"))
-    return d.withColumn("seq_id", F.monotonically_increasing_id()).select("seq_id", "title", "seq")
+    d = spark.read.text(path).select(line.alias("line"), *_place()).where("line <> '' and line not like '>%'")
+    return _numbered(d).select("seq_id", F.lit(None).cast("string").alias("title"), F.translate("line", "NYS", "").alias("seq"))
 
 
 def _records(spark: SparkSession, path: str) -> DataFrame:
-    d = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
+    d = _numbered(spark.read.option("lineSep", ">").text(path).select("value", *_place()).where(F.trim("value") != ""))
     lines = F.split(F.regexp_replace("value", r"\r", ""), "\n")
     body = F.regexp_replace(F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), ""), r"\s", "")
-    return d.select(F.trim(lines[0]).alias("title"), body.alias("seq")).withColumn("seq_id", F.monotonically_increasing_id())
+    return d.select("seq_id", F.trim(lines[0]).alias("title"), body.alias("seq"))
 
 
 def multi_line(spark: SparkSession, path: str, least: int = 0) -> DataFrame:
@@ -58,9 +75,15 @@ def clusters(spark: SparkSession, path: str) -> DataFrame:
 
 
 def alignments(spark: SparkSession, path: str) -> DataFrame:
-    """(query, target, offset, p, e, q) of an external aligner's tab-separated result."""
-    d = spark.read.text(path).where("value <> '' and value not like '#%'").select(F.split("value", "\t").alias("v"))
-    return d.select(F.col("v")[0].alias("query"), F.col("v")[1].alias("target"), F.col("v")[2].cast("int").alias("offset"), *[F.col("v")[i].cast("double").alias(c) for i, c in ((3, "p"), (4, "e"), (5, "q"))])
+    """(query, target, offset, p, e, q) of an external aligner's tab-separated result.
+
+    A header may begin with # or not; rows are those whose offset is a whole number and whose values are numbers.
+    """
+    v = F.split(F.regexp_replace("value", r"\r", ""), "\t")
+    d = spark.read.text(path).where("value <> '' and value not like '#%'").select(v.alias("v")).where(F.size("v") >= 6)
+    n = lambda i, kind: F.get("v", F.lit(i)).try_cast(kind)
+    d = d.select(F.get("v", F.lit(0)).alias("query"), F.get("v", F.lit(1)).alias("target"), n(2, "int").alias("offset"), *[n(i, "double").alias(c) for i, c in ((3, "p"), (4, "e"), (5, "q"))])
+    return d.where("offset is not null and p is not null")
 
 
 def pwm_kmers(spark: SparkSession, path: str) -> DataFrame:
