@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motifmill.functions import patterns as P
 from motifmill.operators import background, degenerate
+from motifmill.session import save
 
 
 def testable(patterns: DataFrame, least_ic: float) -> DataFrame:
@@ -19,6 +20,14 @@ def frequent(patterns: DataFrame, n_seqs: int, least: float = 0.1) -> DataFrame:
     return patterns.where(F.col("cov") >= least * n_seqs)
 
 
+def sampled_p(patterns: DataFrame, ref_words: DataFrame, drawn: DataFrame, n_samples: int, tests: int) -> DataFrame:
+    """(pattern, p): adjusted extrapolated p-values of (pattern, cov) against samples of reference words (kmer, ref_id)."""
+    hits = degenerate.expansions(patterns).join(ref_words, "kmer").select("pattern", "ref_id").distinct()
+    words = patterns.select("pattern", "cov")
+    hist = background.histograms(words, background.sampled_coverage(hits, drawn, "pattern"), n_samples, "pattern")
+    return save(adjusted(background.p_values(words, hist, "pattern"), tests, "p_extrapolated"), "p")
+
+
 def adjusted(p: DataFrame, tests: int, value: str = "p") -> DataFrame:
     """(pattern, p) times the number of tests, 1 at most."""
     return p.select("pattern", background.bonferroni(F.col(value), F.lit(tests)).alias("p"))
@@ -92,8 +101,6 @@ def regrouped(members: DataFrame, mode: int) -> DataFrame:
 
 def cores_by_p(clusters: DataFrame, p: DataFrame, most: int = 5) -> DataFrame:
     """(cluster_id, pattern, rank, p): of each cluster the patterns of the least p, ties by their letters (mode 1)."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("cluster_id").orderBy("p", "pattern")
     d = clusters.select("cluster_id", "pattern").distinct().join(p.select("pattern", "p"), "pattern")
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("cluster_id", "pattern", "rank", "p")
@@ -106,8 +113,6 @@ def preferred(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
 
 def ranked_pairs(d: DataFrame, group: str, item: str, order: str) -> DataFrame:
     """(g, p1, p2, rank): each group's pairs of items, ranked as lines of a file are: by when the later of the two first came, then by name."""
-    from pyspark.sql import Window
-
     e = d.select(F.col(group).alias("g"), F.col(item).alias("x"), F.col(order).alias("o")).where("g is not null and x is not null").groupBy("g", "x").agg(F.min("o").alias("o"))
     a = e.select("g", F.col("x").alias("p1"), F.col("o").alias("o1"))
     b = e.select("g", F.col("x").alias("p2"), F.col("o").alias("o2"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from motifmill.functions import numbers as N
 from motifmill.functions import patterns as P
 from motifmill.operators import background, degenerate, kmers, report, search
+from motifmill.plans import flow
 from motifmill.plans import catalog as c
 from motifmill.plans.catalog import query
 from motifmill.session import save
@@ -55,22 +56,14 @@ again AS (SELECT * FROM tested WHERE pattern NOT IN (SELECT pattern FROM rna WHE
 rep AS (SELECT pattern, ic, cov, rna.p AS first_p, micro.p AS second_p FROM tested JOIN rna USING (pattern) LEFT JOIN micro USING (pattern) WHERE rna.p <= 0.05)"""
 
 
-def _background_p(tested, refs, drawn, tests: int):
-    """Adjusted extrapolated p-values (pattern, p) against samples of reference words (kmer, ref_id)."""
-    hits = degenerate.expansions(tested).join(refs, "kmer").select("pattern", "ref_id").distinct()
-    words = tested.select("pattern", "cov")
-    hist = background.histograms(words, background.sampled_coverage(hits, drawn, "pattern"), c.SAMPLES, "pattern")
-    return save(report.adjusted(background.p_values(words, hist, "pattern"), tests, "p_extrapolated"), "p")
-
-
 def _report(spark, d):
     tested = _tested(spark, d)
     tests, size = tested.count(), c.positives(spark, d).count()
-    first = _background_p(tested, c._ref_words(spark, d), c._drawn(spark, d), tests)
+    first = report.sampled_p(tested, c._ref_words(spark, d), c._drawn(spark, d), c.SAMPLES, tests)
     mir = fasta.hashed(c.table(spark, d, "customer"), "c_custkey", "mir")
     refs = kmers.index(mir, [c.K]).select("kmer", F.col("seq_id").alias("ref_id")).distinct()
     drawn = background.samples(mir.withColumnRenamed("seq_id", "ref_id"), c.SAMPLES, size, "8")
-    second = _background_p(save(report.worth_second(tested, first), "again"), refs, drawn, tests)
+    second = report.sampled_p(save(report.worth_second(tested, first), "again"), refs, drawn, c.SAMPLES, tests)
     return save(report.report(tested, first, second), "report")
 
 
@@ -202,3 +195,40 @@ s AS (SELECT DISTINCT pattern, seq_id FROM expd JOIN km USING (kmer))
 SELECT p1, p2, merged, count(DISTINCT seq_id) AS cov FROM n JOIN s ON s.pattern = p1 OR s.pattern = p2 GROUP BY ALL""")
 def merged_coverage(spark, d):
     return report.merged_coverage(c.patterns(spark, d), c.index(spark, d))
+
+
+def _p_of(spark, d):
+    """Patterns of the clusters with an exact p-value: that of their coverage against the pool's."""
+    pats = c.patterns(spark, d)
+    n_pos, pool = c.positives(spark, d).count(), save(c._pool(spark, d), "pool")
+    own = degenerate.coverage(pats, c.index(spark, d))
+    refs = kmers.index(pool.select(F.col("ref_id").alias("seq_id"), F.col("seg").alias("seq")), [c.K])
+    both = own.join(degenerate.coverage(pats, refs).withColumnRenamed("cov", "c"), "pattern", "left")
+    number = lambda n: F.lit(n).cast("long")
+    return both.select("pattern", background.exact_p(F.col("cov"), number(n_pos), F.coalesce("c", number(0)), number(pool.count())).alias("p"))
+
+
+@query()
+def cluster_cores_by_p(spark, d):
+    return report.cores_by_p(c.louvain_clusters(spark, d), _p_of(spark, d)).withColumn("p", F.round("p", 9))
+
+
+@query()
+def cluster_cores_one_group(spark, d):
+    """Clusters of one pattern put together (mode 2)."""
+    return search.cores(report.regrouped(c._clustered(spark, d), 2), c.positives(spark, d).count())
+
+
+@query()
+def cluster_cores_two_groups(spark, d):
+    """Clusters of one pattern put together, and all others too (mode 3)."""
+    return search.cores(report.regrouped(c._clustered(spark, d), 3), c.positives(spark, d).count())
+
+
+@query()
+def motif_flow(spark, d):
+    """Sequences to final motifs of three places, against both backgrounds."""
+    pool = c._pool(spark, d).select("ref_id", F.col("seg").alias("seq"))
+    mir = fasta.hashed(c.table(spark, d, "customer"), "c_custkey", "mir").withColumnRenamed("seq_id", "ref_id")
+    found = flow.find(c.positives(spark, d), pool, mir, ks=(3,), n_samples=c.SAMPLES)
+    return found["motifs"].select("k", "pattern", "cov", F.round("ic", 8).alias("ic"), F.round("first_p", 9).alias("first_p"), F.round("second_p", 9).alias("second_p"))

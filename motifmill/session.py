@@ -18,12 +18,14 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, **conf: str) -> S
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset and Spark runs on this machine alone."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="motifmill-"))
     return sc.getCheckpointDir()
 
@@ -42,9 +44,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the shared folder and read it back, which cuts lineage and survives lost executors."""
+def save(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write a table in the shared folder and read it back, which cuts lineage and survives lost executors; `by` makes a folder for each of its values."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(table: DataFrame, part: str = "") -> None:
+    """Delete a table of `save`, or the folder of one value (such as "kind=words"), that nothing reads any more."""
+    _delete(table.sparkSession, f"{table.saved_at}/{part}" if part else table.saved_at.rsplit("/", 1)[0])

@@ -6,7 +6,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from motifmill.operators import background, compare, degenerate, graphs, kmers, search
+from motifmill.operators import background, compare, degenerate, graphs, kmers, report, search
+from motifmill.plans import flow
 from motifmill.sinks import text as sinks
 from motifmill.sources import fasta
 from motifmill.streaming import coverage as streaming
@@ -247,3 +248,278 @@ def test_entry_runs(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() == 96
+
+
+def arrays(spark, *columns):
+    return spark.range(1).select(*columns).first()
+
+
+def test_exact_tests_leave_out_only_what_vanishes(spark):
+    """Large tables, against sums of all their terms."""
+
+    def log_choose(n, k):
+        return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+
+    def terms(drawn, good, size):
+        low, high = max(0, drawn + good - size), min(drawn, good)
+        return {x: math.exp(log_choose(good, x) + log_choose(size - good, drawn - x) - log_choose(size, drawn)) for x in range(low, high + 1)}
+
+    for cov, drawn, good, size in ((900, 3000, 8000, 30000), (0, 3000, 8000, 30000), (700, 3000, 8000, 30000), (2500, 3000, 8000, 30000)):
+        want = sum(p for x, p in terms(drawn, good, size).items() if x >= cov)
+        got = arrays(spark, background.exact_p(*[F.lit(x).cast("long") for x in (cov, drawn, good, size)]))[0]
+        assert got == pytest.approx(want, rel=1e-6, abs=1e-12)
+    for a, b, c, d in ((300, 2700, 420, 2600), (310, 2690, 300, 2700), (50, 950, 900, 100)):
+        p = terms(a + b, a + c, a + b + c + d)
+        want = sum(x for x in p.values() if x <= p[a] * (1 + 1e-7))
+        got = arrays(spark, background.fisher(*[F.lit(x).cast("long") for x in (a, b, c, d)]))[0]
+        assert got == pytest.approx(want, rel=1e-5, abs=1e-12)
+
+
+def test_samples_rank_few_references_or_all(spark):
+    refs = spark.range(3000).select(F.col("id").alias("ref_id"))
+    few = background.samples(refs, 3, 40)
+    want = refs.select("ref_id", F.md5(F.concat(F.lit("71/"), F.col("ref_id").cast("string")).cast("binary")).alias("h")).orderBy("h").limit(40)
+    assert {r.ref_id for r in few.where("sample_id = 1").collect()} == {r.ref_id for r in want.collect()}
+    assert background.samples(refs.limit(5), 2, 9).count() == 10  # fewer references than are asked for: all of them
+
+
+def test_bitmaps_are_decoded(spark):
+    ids = [0, 1, 7, 8, 32767, 32768, 32769, 70000]
+    idx = spark.createDataFrame([(2, "AC", i) for i in ids] + [(2, "GU", 5)], "k int, kmer string, seq_id long")
+    got = kmers.decoded(kmers.layer_bitmaps(idx).drop("k"))
+    assert sorted(r.seq_id for r in got.where("kmer = 'AC'").collect()) == ids and got.count() == len(ids) + 1
+
+
+def test_places_ranges_and_counts(spark):
+    from motifmill.functions import numbers as N
+
+    assert N.float_range(0, 1, 0.1)[3] == pytest.approx(0.3) and len(N.float_range(0, 1, 0.1)) == 10 and N.float_range(1, 0, 0.5) == []
+    row = arrays(spark, N.flat_index(F.lit(2), F.lit(3), 5), N.grid_index(F.lit(13), 5).alias("at"), N.lcm_of(F.array(F.lit(4), F.lit(6), F.lit(10))))
+    assert row[0] == 13 and (row.at.row, row.at.col) == (2, 3) and row[2] == 60
+    for v, want in ((-1, 0), (0, 1), (1.1, 2), (5, 3)):
+        assert arrays(spark, N.range_index(F.lit(v), [0, 1, 2]))[0] == want
+    for counts, want in (((1, 2, 1, 0), 0.1505), ((4, 0, 0, 0), 0.6021), ((1, 1, 1, 1), 0.0)):
+        assert arrays(spark, N.counts_ic(F.array(*[F.lit(c).cast("long") for c in counts])))[0] == pytest.approx(want, abs=1e-4)
+    d = spark.createDataFrame([("a", 1, True), ("a", 4, False), ("a", 5, True), ("a", 7, False), ("b", 9, True), ("b", 9, False), ("b", None, True)], "k string, v long, x boolean")
+    assert {r.k: r.least for r in N.least_offsets(d, "k", "v", "x").collect()} == {"a": 2, "b": -1}
+
+
+def test_report_filters(spark):
+    p = spark.createDataFrame([("A[CG]A", 1.5, 30), ("CCC", 1.8, 9), ("A[ACGU]A", 1.2, 40), ("GGG", 0.5, 8)], "pattern string, ic double, cov long")
+    assert sorted(r.pattern for r in report.testable(p, 1.0).collect()) == ["A[CG]A", "CCC"]
+    assert sorted(r.pattern for r in report.frequent(p, 100).collect()) == ["A[ACGU]A", "A[CG]A"]
+    raw = spark.createDataFrame([("A[CG]A", 0.01), ("CCC", 0.02), ("GGG", 0.6)], "pattern string, p double")
+    first = report.adjusted(raw, 4)
+    assert {r.pattern: r.p for r in first.collect()} == {"A[CG]A": 0.04, "CCC": 0.08, "GGG": 1.0}
+    assert sorted(r.pattern for r in report.worth_second(p, first).collect()) == ["A[ACGU]A", "A[CG]A"]
+    second = spark.createDataFrame([("CCC", 0.9)], "pattern string, p double")
+    assert [(r.pattern, r.first_p, r.second_p) for r in report.report(p, first, second).collect()] == [("A[CG]A", 0.04, None)]
+    assert report.report(p, first).columns == ["pattern", "ic", "cov", "first_p", "second_p"]
+
+
+def test_patterns_that_negatives_have_as_often_go(spark):
+    p = spark.createDataFrame([("AAA", 60), ("CCC", 50), ("GGG", 5)], "pattern string, cov long")
+    neg = spark.createDataFrame([("AAA", 10), ("CCC", 48), ("GGG", 60)], "pattern string, cov long")
+    got = {r.pattern: r.neg_cov for r in report.against_negatives(p, neg, 100, 100).collect()}
+    assert got == {"AAA": 10, "GGG": 60}  # two-sided: one that negatives have more often stays
+    assert report.against_negatives(p, neg.limit(0), 100, 100).where("pattern = 'AAA'").first().neg_cov == 0
+
+
+def test_aligned_similarity_takes_the_offset_or_none(spark):
+    sims = spark.createDataFrame([("q", "p", 0, 3, 1.5), ("q", "p", 1, 2, 2.0), ("r", "p", 0, 3, 0.9)], "p1 string, p2 string, offset int, overlap long, pcc double")
+    lengths = spark.createDataFrame([("p", 3), ("q", 4), ("r", 3)], "pattern string, n int")
+    one = spark.createDataFrame([("q", "p", 1)], "p1 string, p2 string, offset int")
+    got = {(r.p1, r.offset): r.similarity for r in report.aligned_similarity(sims, one, lengths).collect()}
+    assert got == {("q", 1): pytest.approx(0.5), ("r", 0): pytest.approx(0.3)}
+    side = spark.createDataFrame([("p", "x"), ("q", "x"), ("r", "y")], "pattern string, side string")
+    both = report.aligned_similarity(sims, one.limit(0), lengths)
+    assert {(r.kind, r.n, round(r["mean"], 3)) for r in report.across(both, side).collect()} == {("in", 1, 0.5), ("trans", 1, 0.3)}
+
+
+def test_core_modes(spark):
+    hits = {"p": range(0, 6), "q": range(4, 9), "r": range(0, 3), "s": range(9, 12), "t": range(9, 11)}
+    home = {"p": "c", "q": "c", "r": "c", "s": "d", "t": "e"}
+    members = spark.createDataFrame([(home[p], p, i, 1.0) for p, ids in hits.items() for i in ids], "cluster_id string, pattern string, seq_id long, ic double")
+    groups = lambda mode: {frozenset(r.p) for r in report.regrouped(members, mode).groupBy("cluster_id").agg(F.collect_set("pattern").alias("p")).collect()}
+    assert groups(0) == {frozenset("pqr"), frozenset("s"), frozenset("t")}
+    assert groups(2) == groups(3) == {frozenset("pqr"), frozenset("st")}
+    with pytest.raises(ValueError):
+        report.regrouped(members, 5)
+    # greedy by hand: of the clusters of one pattern s covers more, and t adds nothing
+    got = {(r.pattern, r["rank"], r.gain) for r in search.cores(report.regrouped(members, 2), 12).collect()}
+    assert got == {("p", 1, 6), ("q", 2, 3), ("s", 1, 3)}
+    p = spark.createDataFrame([("p", 0.3), ("q", 0.1), ("r", 0.1), ("s", 0.5)], "pattern string, p double")
+    low = report.cores_by_p(members, p, 2)
+    assert {(r.pattern, r["rank"]) for r in low.collect()} == {("q", 1), ("r", 2), ("s", 1)}
+
+
+def test_preferred_and_ranked(spark):
+    a = spark.createDataFrame([("x", 1), ("y", 2)], "k string, v int")
+    b = spark.createDataFrame([("y", 9), ("z", 3)], "k string, v int")
+    assert sorted(map(tuple, report.preferred(a, b, "k").collect())) == [("x", 1), ("y", 2), ("z", 3)]
+    e = spark.createDataFrame([(1, "a", 1), (1, "b", 5), (1, "c", 3), (2, "b", 1), (2, "a", 2), (2, "a", 9), (None, "a", 1)], "g long, x string, o int")
+    ranks = report.ranked_pairs(e, "g", "x", "o")
+    assert sorted(map(tuple, ranks.collect())) == [(1, "a", "b", 2), (1, "a", "c", 1), (1, "b", "c", 3), (2, "a", "b", 1)]
+    assert [tuple(r) for r in report.coexisting_ranks(ranks).collect()] == [("a", "b", 2, 1, 2, 3)]
+
+
+def test_merged_coverage_is_of_either(spark, seqs):
+    p = spark.createDataFrame([("A[CG]A",), ("ACA",), ("UUU",)], "pattern string")
+    got = report.merged_coverage(p, kmers.index(seqs, [3])).collect()
+    assert [(r.p1, r.p2, r.merged) for r in got] == [("A[CG]A", "ACA", "A[CG]A")] or [(r.p1, r.p2) for r in got] == [("ACA", "A[CG]A")]
+    assert got[0]["cov"] == sum(bool(re.search("A[CG]A", s)) for _, s in sequences())
+
+
+def grow(words, near, seqs, cov, low, high):
+    """Every pattern that unions of neighbours reach within a window, by hand: {start: {pattern: coverage}}."""
+
+    def text(sets):
+        return "".join("".join(sorted(s)) if len(s) == 1 else "[" + "".join(sorted(s)) + "]" for s in sets)
+
+    def ic(sets):
+        own = [""]
+        for s in sets:
+            own = [o + c for o in own for c in s]
+        total = 0.0
+        for i in range(len(sets)):
+            n = Counter()
+            for w in own:
+                n[w[i]] += cov.get(w, 1)
+            every = sum(n.values())
+            total += sum(x / every * math.log10(4 * x / every) for x in n.values())
+        return total
+
+    out = {}
+    for start in words:
+        found, stack, seen = {}, [tuple(frozenset(c) for c in start)], set()
+        while stack:
+            sets = stack.pop()
+            own = {""}
+            for s in sets:
+                own = {o + c for o in own for c in s}
+            for u in own & set(words):
+                for v in near[u] - own:
+                    more = tuple(s | {c} for s, c in zip(sets, v))
+                    if more in seen or max(map(len, more)) == 4 or not low < ic(more) < high:
+                        continue
+                    seen.add(more)
+                    stack.append(more)
+                    found[text(more)] = (sum(bool(re.search(text(more), s)) for _, s in seqs), round(ic(more), 9))
+        out[start] = found
+    return out
+
+
+def test_search_finds_the_best_of_all_patterns(spark):
+    """Against all patterns that can be grown, of few words; and narrower windows, each by hand."""
+    rows = sequences(30, 5, (6, 9))
+    seqs = spark.createDataFrame(rows, "seq_id long, seq string")
+    idx = kmers.index(seqs, [4])
+    every = {r.kmer: r.cov for r in kmers.coverage(idx).collect()}
+    words = sorted(sorted(every, key=lambda w: (-every[w], w))[:9])
+    some = kmers.coverage(idx).where(F.col("kmer").isin(words))
+    alike = lambda u, v: sum(u[i : i + 2] == v[i : i + 2] for i in range(3)) >= 1
+    near = {u: {v for v in words if v != u and alike(u, v)} for u in words}
+    cov = {w: every[w] for w in words}
+
+    def best(low, high):
+        out = set()
+        for found in grow(words, near, rows, cov, low, high).values():
+            if found:
+                out.add(min(found, key=lambda p: (-found[p][0], -found[p][1], p)))
+        return out
+
+    low, high = search.LOW_IC * 4, search.HIGH_IC * 4
+    got = search.patterns(some, idx, 4, beam=None).collect()
+    assert {r.pattern for r in got} == best(low, high) and any(r.pattern.count("[") > 1 for r in got)
+    mid = (low + high) / 2
+    two = search.window_patterns(some, idx, 4, [(low, mid), (mid, high)], beam=None).collect()
+    assert {r.pattern for r in two if r.window == 0} == best(low, mid) and {r.pattern for r in two if r.window == 1} == best(mid, high)
+
+
+def test_windows_are_cut_until_they_are_narrow(spark, monkeypatch):
+    asked = []
+
+    def fake(candidates, index, k, windows, beam):
+        asked.extend(windows)
+        rows = [(i, f"p{len(asked)}", (a + b) / 2, 1) for i, (a, b) in enumerate(windows)]
+        return candidates.sparkSession.createDataFrame(rows, "window int, pattern string, ic double, cov long")
+
+    monkeypatch.setattr(search, "window_patterns", fake)
+    search.bisected(spark.range(1), spark.range(1), 2).collect()
+    low, high = search.LOW_IC * 2, search.HIGH_IC * 2
+    assert asked[0] == (low, high) and all(b - a > 0.05 for a, b in asked) and len(asked) > 5
+    assert (low, (low + high) / 2) in asked and ((low + high) / 2, high) in asked
+
+
+def lines_of(spark, path):
+    return [r.value for r in spark.read.text(str(path)).withColumn("at", F.monotonically_increasing_id()).orderBy("at").collect()]
+
+
+def test_report_files(spark, tmp_path):
+    p = spark.createDataFrame([(2, "AC", 1.2, 5, 0.01, None), (2, "GU", 1.2, 9, 0.02, 0.5), (3, "ACU", 1.8, 4, 0.03, None)], "k int, pattern string, ic double, cov long, first_p double, second_p double")
+    sinks.lines(sinks.pattern_info(p, 10), str(tmp_path / "info"))
+    assert lines_of(spark, tmp_path / "info") == [
+        "=====motif length: 2=====", "pattern\tIC\tcoverage(in 10)\tRNA_Pvalue\tmiR_Pvalue", "GU\t1.2\t9\t0.02\t0.5", "AC\t1.2\t5\t0.01\tN/A",
+        "=====motif length: 3=====", "pattern\tIC\tcoverage(in 10)\tRNA_Pvalue\tmiR_Pvalue", "ACU\t1.8\t4\t0.03\tN/A",
+    ]
+    sinks.lines(sinks.final_result(p), str(tmp_path / "final"))
+    assert lines_of(spark, tmp_path / "final")[:2] == ["pattern length: 2", "GU\t9\t1.2\t0.02\t0.5"]
+    hits = {"p": range(0, 6), "q": range(4, 9)}
+    members = spark.createDataFrame([("c", x, i, 1.0) for x, ids in hits.items() for i in ids], "cluster_id string, pattern string, seq_id long, ic double")
+    clusters = members.select(F.lit(2).alias("k"), "cluster_id", "pattern").distinct()
+    cores = search.cores(members, 10).withColumn("k", F.lit(2))
+    sinks.lines(sinks.cluster_info(clusters, cores, members), str(tmp_path / "clusters"))
+    assert lines_of(spark, tmp_path / "clusters") == [
+        "==== clusters for motif with length: 2 ====", "p\tq", "== core pattern in each cluster ==", "p\t6\t9\t3", "q\t5\t3\t0", "==",
+    ]
+
+
+def test_graph_and_motif_files(spark, seqs, tmp_path):
+    cov = spark.createDataFrame([("AC", 9), ("GU", 5), ("UU", 2), ("GG", 7)], "kmer string, cov long")
+    t = lambda *rows: spark.createDataFrame(rows, "kmer string, threshold long")
+    nodes = sinks.tree_nodes(cov, t(("AC", 3), ("GU", 4), ("UU", 5)), t(("AC", 8), ("GU", 5), ("GG", 1)))
+    assert {(r.id, r.label, r.colour) for r in nodes.collect()} == {("AC", "AC_9,3,8", "red"), ("GU", "GU_5,4,5", "black"), ("GG", "GG_7,-,1", "green")}
+    sinks.dot(nodes, spark.createDataFrame([("AC", "GU")], "u string, v string"), str(tmp_path / "g"), directed=False)
+    text = lines_of(spark, tmp_path / "g")
+    assert text[0] == "graph {" and text[-1] == "}" and '"AC" -- "GU";' in text and len(text) == 6
+    m = degenerate.ppm(spark.createDataFrame([("AC",), ("G[CU]",)], "pattern string"), seqs)
+    sinks.meme_file(sinks.meme_text(m), str(tmp_path / "m"))
+    text = "\n".join(lines_of(spark, tmp_path / "m"))
+    assert text.count("MEME version") == 1 and text.index("MEME") < text.index("MOTIF AC") < text.index("MOTIF G[CU]")
+
+
+def test_sequences_are_numbered_by_their_place(spark, tmp_path):
+    n = 4000
+    for k in range(2):
+        (tmp_path / f"{k}.fa").write_text("".join(f">t{k}.{i}\n{'ACGU'[i % 4]}{'ACGU'[i // 4 % 4]}ACGU\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = fasta.multi_line(spark, str(tmp_path)).orderBy("seq_id").collect()
+        assert [r.title for r in got] == [f"t{k}.{i}" for k in range(2) for i in range(n)] and [r.seq_id for r in got] == list(range(2 * n))
+        one = fasta.single_line(spark, str(tmp_path)).orderBy("seq_id").collect()
+        assert [r.seq for r in one] == [r.seq for r in got] and [r.seq_id for r in one] == list(range(2 * n))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_alignment_files(spark, tmp_path):
+    f = tmp_path / "a.txt"
+    f.write_text("Query ID\tTarget ID\tOptimal offset\tp-value\tE-value\tq-value\n#Query\tx\n p\tq\t-1\t0.5\t1.0\t0.7\r\np\tr\t2\t1e-3\t0.1\t0.2\nshort\tline\n".replace(" p", "p"))
+    assert [tuple(r) for r in fasta.alignments(spark, str(f)).orderBy("offset").collect()] == [("p", "q", -1, 0.5, 1.0, 0.7), ("p", "r", 2, 0.001, 0.1, 0.2)]
+
+
+def test_flow_finds_a_planted_motif(spark):
+    """Sequences that nearly all hold GG[CG]AC, against references that hold it by chance."""
+    r = random.Random(4)
+    letters = lambda n: "".join(r.choice("ACGU") for _ in range(n))
+    rows = [(i, letters(8) + f"GG{r.choice('CG')}AC" + letters(8)) for i in range(60)]
+    refs = [(i, letters(21)) for i in range(200)]
+    got = flow.find(
+        spark.createDataFrame(rows, "seq_id long, seq string"), spark.createDataFrame(refs, "ref_id long, seq string"), negatives=spark.createDataFrame([(i, letters(21)) for i in range(60)], "seq_id long, seq string"),
+        ks=(4,), n_samples=20, threshold=0.3, beam=2,
+    )
+    motifs = [r.pattern for r in got["motifs"].collect()]
+    assert motifs and all(re.search(m.replace("[", "[").strip(), "GGCAC GGGAC") for m in motifs)
+    assert set(motifs) <= {r.pattern for r in got["cores"].collect()} <= {r.pattern for r in got["patterns"].collect()}
+    empty = flow.find(spark.createDataFrame(rows[:5], "seq_id long, seq string"), spark.createDataFrame(refs, "ref_id long, seq string"), ks=(4,), n_samples=3, threshold=2.0)
+    assert all(t.count() == 0 for t in empty.values())
