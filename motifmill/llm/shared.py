@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifmill.session import new_path, save, shared_dir  # noqa: F401
+from motifmill.session import discard, new_path, save, shared_dir  # noqa: F401
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,6 +56,15 @@ def in_arrow(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(released(run), schema)
 
 
+def save_and_free(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """`save`, then let Spark's cleaner remove the shuffle files of finished jobs, which can be as large as the input, before its own next turn."""
+    out = save(df, name, by)
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def row_groups(batches, key: list[str], max_rows: int = 1 << 16):
     """Consecutive rows with equal keys, from Arrow batches that are sorted by them.
 

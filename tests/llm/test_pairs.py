@@ -137,6 +137,28 @@ def test_fenwick_chains_score_as_all_pairs_do():
         assert sorted(i for c in found for i in c) == list(range(len(x)))
 
 
+def test_near_matches_are_one_chain_without_a_tree():
+    """Groups that are chained at once have the chains that the tree gives."""
+    r = np.random.default_rng(5)
+    rows = []
+    for pair in range(60):
+        x = np.cumsum(r.integers(1, 14, r.integers(1, 9)))
+        y = x + 40 + np.cumsum(r.integers(-2, 3, len(x))) * (pair % 2) + (300 * (np.arange(len(x)) > 3) if pair % 5 == 0 else 0)
+        rows += sorted((100 + pair, pair, int(a), int(b)) for a, b in zip(x, y))
+    cols = [pa.array(c) for c in zip(*rows)]
+    batch = pa.RecordBatch.from_arrays(cols, ["doc_id", "other_id", "place", "other_place"])
+    got = sorted(tuple(v) for out in chaining._chained([batch.slice(0, 77), batch.slice(77)]) for v in zip(*[c.to_pylist() for c in out.columns]))
+    want = []
+    for pair in range(60):
+        g = np.array([row for row in rows if row[1] == pair])
+        for chain in chaining.chains(g[:, 2], g[:, 3]):
+            c = g[chain]
+            step = np.diff(c[:, 2:], axis=0)
+            for part in np.split(c, np.flatnonzero((np.abs(step[:, 0] - step[:, 1]) > chaining.BAND) | (step[:, 0] > chaining.FLANK)) + 1):
+                want.append((100 + pair, pair, part[0, 2], part[-1, 2] + chaining.GRAM, part[0, 3], part[-1, 3] + chaining.GRAM))
+    assert got == sorted(map(tuple, (map(int, w) for w in want)))
+
+
 def test_alignment_goes_over_edits():
     a = np.arange(100, 200).astype("<u2")
     b = np.concatenate([a[:30], [7, 8], a[30:60], a[61:80], [9], a[81:]]).astype("<u2")
