@@ -60,8 +60,9 @@ def save_and_free(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """`save`, then let Spark's cleaner remove the shuffle files of finished jobs, which can be as large as the input, before its own next turn."""
     out = save(df, name, by)
     del df
-    gc.collect()
-    out.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round lets go of holds the shuffles of the second
+        gc.collect()
+        out.sparkSession.sparkContext._jvm.System.gc()
     return out
 
 
