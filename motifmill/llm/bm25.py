@@ -13,6 +13,7 @@ stand in the passage.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motifmill.llm import text
-from motifmill.llm.shared import in_arrow
+from motifmill.llm.shared import in_arrow, save
 
 K1, B = 1.2, 0.75
 LEAST_SCORE = 0.6
@@ -65,10 +66,22 @@ def _share(part: np.ndarray, words: np.ndarray) -> float:
     return float(np.isin(want, _grams(words, k)).mean())
 
 
+@dataclass
+class Whole:
+    """Over all items: their number, mean and greatest number of words, and how many items have each of some terms (sorted)."""
+
+    n: int
+    mean: float
+    longest: int
+    terms: np.ndarray
+    frequencies: np.ndarray
+
+
 class Index:
     """Posting lists of impacts by term, with their block maxima."""
 
-    def __init__(self, items: list[tuple[int, str]], least_score: float = LEAST_SCORE):
+    def __init__(self, items: list[tuple[int, str]], least_score: float = LEAST_SCORE, whole: Whole | None = None):
+        """whole: what is counted over all items, if these aren't all."""
         items = sorted((i, t or "") for i, t in items)
         self.least = least_score
         hashed = _hashed([t for _, t in items])
@@ -78,7 +91,6 @@ class Index:
         parts = [split_item(items[k][1]) for k in keep]
         self.question, self.answer = _hashed([q for q, _ in parts]), _hashed([a for _, a in parts])
         self.n = len(keep)
-        self.stride = max([len(h) for h in hashed], default=1)
         lens = np.array([len(h) for h in hashed])
         self.terms = np.unique(np.concatenate(hashed)) if self.n else np.zeros(0, text.U64)
         rows = []
@@ -87,10 +99,14 @@ class Index:
             t, tf = np.unique(np.searchsorted(self.terms, h), return_counts=True)
             df[t] += 1
             rows.append((t, np.full(len(t), k), tf))
-        idf = np.log(1 + (self.n - df + 0.5) / (df + 0.5))
+        if whole is None:
+            whole = Whole(self.n, lens.mean() if self.n else 1.0, max(lens.tolist(), default=1), self.terms, df)
+        self.stride = whole.longest
+        df = whole.frequencies[np.searchsorted(whole.terms, self.terms)]
+        idf = np.log(1 + (whole.n - df + 0.5) / (df + 0.5))
         postings = []
         for t, k, tf in rows:
-            s = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[k] / lens.mean()))
+            s = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[k] / whole.mean))
             postings.append((t, k, s / s.sum()))
         t, k, s = (np.concatenate([p[i] for p in postings]) if postings else np.zeros(0) for i in range(3))
         order = np.lexsort((k, t))
@@ -226,14 +242,36 @@ def _clean(sent, least_overlap: float):
     return run
 
 
-def _turns(items: DataFrame, most: int):
-    """The items in parts of bounded text, each collected on its own."""
+def _item_words(batches):
+    """(low) to rows (word, n_words): each item's distinct words, and one row with its number of words."""
+    for batch in batches:
+        words, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for _, at, h in text.words(text.column(batch, "low"), lower=True, gaps=text.PUNCTUATION):
+            words += [np.unique(h[a:b]).view(np.int64) for a, b in zip(at[:-1], at[1:])]
+            sizes.append(np.diff(at)[np.diff(at) > 0])
+        w, n = np.concatenate(words), np.concatenate(sizes)
+        yield pa.RecordBatch.from_arrays([pa.array([*[None] * len(n)], pa.int64()), pa.array(n)], ["word", "n_words"])
+        yield pa.RecordBatch.from_arrays([pa.array(w), pa.array([*[None] * len(w)], pa.int64())], ["word", "n_words"])
+
+
+def _turns(items: DataFrame, least_score: float, most: int):
+    """Indexes of the items in parts of bounded text, each collected on its own; frequencies and lengths are those of all items."""
+    items = items.select("item_id", "text").where("item_id is not null")
     size = F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long")
-    total = items.agg(F.sum(size)).first()[0] or 0
-    turns = max(1, -(-total // most))
+    turns = max(1, -(-(items.agg(F.sum(size)).first()[0] or 0) // most))
+    if turns == 1:
+        yield Index([tuple(r) for r in items.collect()], least_score)
+        return
+    rows = lambda d: in_arrow(d.select(F.lower("text").alias("low")), _item_words, "word long, n_words long")
+    every = save(rows(items), "item_words")
+    n, mean, longest = every.agg(F.count("n_words"), F.avg("n_words"), F.max("n_words")).first()
+    df = save(every.where("word is not null").groupBy("word").agg(F.count("*").alias("df")), "frequencies")
     for k in range(turns):
-        part = items if turns == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(turns)) == k)
-        yield [(r.item_id, r.text) for r in part.select("item_id", "text").where("item_id is not null").collect()]
+        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(turns)) == k)
+        mine = df.join(rows(part).where("word is not null").select("word").distinct(), "word").collect()  # of this part's words
+        terms = np.array([r.word for r in mine], np.int64).view(text.U64)
+        order = np.argsort(terms)
+        yield Index([tuple(r) for r in part.collect()], least_score, Whole(n, mean or 1.0, longest or 1, terms[order], np.array([r.df for r in mine], np.int64)[order]))
 
 
 def leaks(docs: DataFrame, items: DataFrame, least_score: float = LEAST_SCORE, least_overlap: float = LEAST_OVERLAP, index_bytes: int = INDEX_BYTES) -> DataFrame:
@@ -242,22 +280,27 @@ def leaks(docs: DataFrame, items: DataFrame, least_score: float = LEAST_SCORE, l
     Words are runs of 0-9, a-z and non-ASCII characters in the lower-cased text. first_word: where the
     best passage begins, counted in words. Items without words or without item_id are left out; texts
     that are null or empty hold none. Items of more than index_bytes of text are indexed in several turns,
-    each with its own document frequencies. Repeated rows: each.
+    which gives the same rows, as frequencies, lengths and passages are those of all items. Repeated rows: each;
+    an item_id that several items have is told of each. No rows or no items give no rows.
     """
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
     out = None
-    for part in _turns(items, index_bytes):
-        sent = spark.sparkContext.broadcast(Index(part, least_score))
+    for index in _turns(items, least_score, index_bytes):
+        sent = spark.sparkContext.broadcast(index)
         found = in_arrow(d, _query(sent, least_overlap), SCHEMA)
         out = found if out is None else out.union(found)
     return out
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, least_score: float = LEAST_SCORE, least_overlap: float = LEAST_OVERLAP, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """The rows of docs whose text holds no item, in one pass without a shuffle; nulls and columns as in docs."""
+    """The rows of docs whose text holds no item, in one pass without a shuffle (one for each turn of `leaks`).
+
+    Null and empty texts hold none and stay, repeated rows stay or go together, columns are those of docs
+    whatever their names; without items all rows stay.
+    """
     d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.lower("text").alias("low"))
-    for part in _turns(items, index_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(Index(part, least_score))
+    for index in _turns(items, least_score, index_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(index)
         d = in_arrow(d, _clean(sent, least_overlap), d.schema)
     return d.select("row.*")

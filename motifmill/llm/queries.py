@@ -1,4 +1,8 @@
-"""The registered query of each operator, over its whole table, and DuckDB SQL where SQL can express it."""
+"""The registered query of each operator, over its whole table, and DuckDB SQL where SQL can express it.
+
+Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names have the results
+that the operators' docstrings state.
+"""
 
 from __future__ import annotations
 
@@ -15,22 +19,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_hpylm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all whole texts, learnt from those not held out; as `hpylm.score`."""
     return hpylm.score(_table(spark, sf_dir, "documents"))
 
 
 def op2_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a bit-plane store of all whole texts gives back; as `bitplane.digests`."""
     return bitplane.round_trip(_table(spark, sf_dir, "documents"))
 
 
 def op3_collinear_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that documents share with earlier ones; as `chaining.passages`."""
     return chaining.passages(_table(spark, sf_dir, "documents"))
 
 
 def op4_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items that they hold; as `bm25.leaks`."""
     return bm25.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with the words that the mix takes of it, by its first training position (those that aren't taken last); as `curriculum.mix`."""
     mixed = curriculum.mix(_table(spark, sf_dir, "documents"))
     first = F.round(F.get("positions", F.lit(0)), 6)
     out = mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("copies") * F.col("size")).cast("long").alias("taken"), first.alias("position"))
@@ -38,23 +47,28 @@ def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls that the conversations' turns stand for, linked with their results; as `toolcalls.link`."""
     return toolcalls.link(*toolcalls.from_conversations(_table(spark, sf_dir, "conversations")))
 
 
 def op7_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every encoded length of all whole texts as a context limit; as `lengths.limits`."""
     return lengths.limits(lengths.histogram(_table(spark, sf_dir, "documents")))
 
 
 def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its class of near duplicates and its links; as `chosenpath.join`."""
     return chosenpath.join(_table(spark, sf_dir, "documents"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its base counts, score and verdict; as `quality.score_documents`."""
     out = quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its licence labels; as `licenses.scan`."""
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 

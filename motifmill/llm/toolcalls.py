@@ -49,34 +49,31 @@ def argument_errors(name: Column, args: Column, schemas=SCHEMAS) -> Column:
 
 
 def _one_by_one(pdf):
-    """Order of one conversation's calls by Kahn's algorithm, the least turn first; calls on or behind a cycle come last."""
-    import heapq
-
+    """Keys and ties of one conversation's calls by the rule of `topological_keys`, each after those it needs; calls on or behind a cycle come last, by turn."""
     import pandas as pd
 
-    nodes = pdf.drop_duplicates("call_id").set_index("call_id")["turn"].to_dict()
-    needs = {i: set() for i in nodes}
+    turns = pdf.drop_duplicates("call_id").set_index("call_id")["turn"].to_dict()
+    needs: dict = {i: set() for i in turns}
     for i, p in zip(pdf["call_id"], pdf["pred"]):
-        if p is not None and p in nodes:
+        if p is not None and p in turns:
             needs[i].add(p)
-    after: dict = {i: [] for i in nodes}
+    after: dict = {i: [] for i in turns}
     for i, ps in needs.items():
         for p in ps:
             after[p].append(i)
-    left = {i: len(ps) for i, ps in needs.items()}
-    ready = [(t, i) for i, t in nodes.items() if not left[i]]
-    heapq.heapify(ready)
-    order = []
+    open_ = {i: len(ps) for i, ps in needs.items()}
+    at: dict = {}
+    ready = [i for i in turns if not open_[i]]
     while ready:
-        _, i = heapq.heappop(ready)
-        order.append(i)
+        i = ready.pop()
+        at[i] = max([(turns[i], 0), *[(at[p][0], at[p][1] + 1) for p in needs[i]]])
         for j in after[i]:
-            left[j] -= 1
-            if not left[j]:
-                heapq.heappush(ready, (nodes[j], j))
-    done = set(order)
-    rest = sorted((i for i in nodes if i not in done), key=lambda i: (nodes[i], i))
-    rows = [(i, k, 0, False) for k, i in enumerate(order)] + [(i, len(order) + k, 0, True) for k, i in enumerate(rest)]
+            open_[j] -= 1
+            if not open_[j]:
+                ready.append(j)
+    end = max([*turns.values(), *[k for k, _ in at.values()]]) + 1
+    rest = sorted((i for i in turns if i not in at), key=lambda i: (turns[i], i))
+    rows = [(i, k, tie, False) for i, (k, tie) in at.items()] + [(i, end, n, True) for n, i in enumerate(rest)]
     return pd.DataFrame({"conv_id": pdf["conv_id"].iloc[0], **{c: [r[k] for r in rows] for k, c in enumerate(("call_id", "key", "tie", "cyclic"))}})
 
 
@@ -86,7 +83,8 @@ def topological_keys(calls: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     The key begins as the turn, which is an order already wherever calls need earlier ones. A call that
     needs one of no lesser (key, tie) takes that key and the next tie, round by round, so the number of
     rounds is that of such steps in a row and not the length of a conversation. Conversations that
-    haven't settled then, such as those with cycles, are ordered one by one.
+    haven't settled after `rounds`, such as those with cycles, get their keys by the same rule one by one, a
+    task holding one conversation's identifiers and turns.
     """
     nodes = calls.groupBy("conv_id", "call_id").agg(F.min("turn").cast("long").alias("key")).withColumn("tie", F.lit(0).cast("long"))
     edges = calls.select("conv_id", "call_id", F.explode_outer("after").alias("pred")).where("pred is not null").distinct()

@@ -209,6 +209,27 @@ def test_long_backward_chain_is_ordered(spark):
     assert [r.call_id for r in sorted(got, key=lambda r: r.order_no)] == [f"c{i:02}" for i in range(n)]
 
 
+def test_one_rule_orders_calls_whatever_the_rounds(spark):
+    """Keys by rounds and one by one agree, and a cycle elsewhere in the conversation doesn't change the others' order."""
+    r = random.Random(6)
+    rows = []
+    for conv in range(12):
+        ids = [f"c{i}" for i in range(9)]
+        r.shuffle(ids)
+        for n, i in enumerate(ids):  # needs only those ahead in this order, at any turns
+            rows.append((conv, i, r.randrange(6), "ask", "{}", r.sample(ids[:n], min(n, r.randrange(3)))))
+    calls = spark.createDataFrame(rows, CALL)
+    slim = calls.select("conv_id", "call_id", "turn", "after")
+    keys = lambda d, n: sorted((x.conv_id, x.call_id, x.key, x.tie, x.cyclic) for x in toolcalls.topological_keys(d, n).collect())
+    want = keys(slim, 50)
+    assert keys(slim, 0) == want and not any(k[4] for k in want)
+    at = {k[:2]: k[2:4] for k in want}
+    assert all(at[conv, p] < at[conv, i] for conv, i, _, _, _, after in rows for p in after)
+    ring = spark.createDataFrame([(conv, x, 1, "ask", "{}", [y]) for conv in range(12) for x, y in (("x", "y"), ("y", "x"))], CALL).select(slim.columns)
+    both = keys(slim.union(ring), 24)
+    assert [k for k in both if k[1] not in "xy"] == want and all(k[4] for k in both if k[1] in "xy")
+
+
 def test_conversations_against_sql(spark, tmp_path):
     rows = [(1, 0, "system", "be"), (1, 1, "user", "hi \"you\"\t\\  "), (1, 2, "assistant", "é"), (1, 3, "user", ""), (2, 0, "user", None), (2, 1, "assistant", None), (3, 1, "assistant", "alone"), (None, 1, "user", "x"), (4, 0, None, "y")]
     d, con = folder(spark, tmp_path, conversations=spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))

@@ -267,10 +267,15 @@ def test_leaks(spark):
     rows.append((200, prose(70, 310) + " " + items[0][1].upper() + " " + prose(500, 311), *rows[0][2:]))
     rows.append((201, items[1][1], *rows[0][2:]))
     rows.append((202, " ".join(items[1][1].split()[:25]), *rows[0][2:]))
+    rows.append((203, prose(900, 320) + " " + items[0][1] + " " + items[1][1] + " " + prose(30, 321), *rows[0][2:]))
+    seen = []
     for size in (1 << 20, 100):
-        got = {(r.doc_id, r.item_id) for r in bm25.leaks(frame(spark, rows), bench_items(spark, items), index_bytes=size).collect()}
-        assert got == {(200, 0), (201, 1)}
+        found = bm25.leaks(frame(spark, rows), bench_items(spark, items), index_bytes=size).collect()
+        assert {(r.doc_id, r.item_id) for r in found} == {(200, 0), (201, 1), (203, 0), (203, 1)}
+        # scores and passages are those of one index, whatever the number of turns
+        seen.append(sorted((r.doc_id, r.item_id, round(r.score, 12), r.question_overlap, r.answer_overlap, r.first_word) for r in found))
+        assert seen[0] == seen[-1]
         clean = bm25.without_leaks(frame(spark, rows), bench_items(spark, items), index_bytes=size)
-        assert clean.columns == frame(spark, rows).columns and clean.count() == len(rows) - 2
+        assert clean.columns == frame(spark, rows).columns and clean.count() == len(rows) - 3
     assert bm25.leaks(frame(spark, []), bench_items(spark, items)).count() == 0
     assert bm25.leaks(frame(spark, rows), bench_items(spark, [])).count() == 0
