@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motifmill.functions import patterns as P
+from motifmill.operators import kmers
 
 
-def segment_merge(kmers: DataFrame, group: str) -> DataFrame:
+def segment_merge(words: DataFrame, group: str) -> DataFrame:
     """(group, pattern): the place by place union of each group's k-mers, letters in order."""
-    letters = kmers.select(group, F.posexplode(F.split("kmer", "")).alias("pos", "chr")).where("chr <> ''")
+    letters = words.select(group, F.posexplode(F.split("kmer", "")).alias("pos", "chr")).where("chr <> ''")
     classes = letters.groupBy(group, "pos").agg(F.array_join(F.array_sort(F.collect_set("chr")), "").alias("letters"))
     cls = F.when(F.length("letters") > 1, F.concat(F.lit("["), F.col("letters"), F.lit("]"))).otherwise(F.col("letters"))
     return classes.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", cls.alias("c")))), lambda x: x["c"]), "").alias("pattern"))
@@ -21,15 +22,21 @@ def expansions(patterns: DataFrame) -> DataFrame:
     return patterns.select("pattern", F.explode(P.expand(F.col("pattern"))).alias("kmer"))
 
 
-def coverage(patterns: DataFrame, kmers: DataFrame) -> DataFrame:
+def coverage(patterns: DataFrame, index: DataFrame) -> DataFrame:
     """Sequences with any of each pattern's k-mers, by an equi-join of expansions and the k-mer index."""
-    seqs = kmers.select("kmer", "seq_id").distinct()
+    seqs = index.select("kmer", "seq_id").distinct()
     return expansions(patterns).join(seqs, "kmer").select("pattern", "seq_id").distinct().groupBy("pattern").agg(F.count("*").alias("cov"))
 
 
+def matching(patterns: DataFrame, seqs: DataFrame) -> DataFrame:
+    """(pattern, seq_id, seq) of sequences that have any of a pattern's k-mers, by equi-joins, so that a pattern is searched for only where it is."""
+    e = expansions(patterns)
+    return kmers.holders(seqs, e.select("kmer")).join(e, "kmer").select("pattern", "seq_id", "seq").distinct()
+
+
 def regex_coverage(patterns: DataFrame, seqs: DataFrame) -> DataFrame:
-    """(pattern, cov, matches): sequences that match, and matches from left to right without overlap; patterns is a list of bounded size."""
-    d = seqs.join(F.broadcast(patterns.select("pattern")), F.expr("seq rlike pattern"))
+    """(pattern, cov, matches): sequences that match, and matches from left to right without overlap."""
+    d = matching(patterns, seqs)
     return d.groupBy("pattern").agg(F.count("*").alias("cov"), F.sum(F.size(F.expr("regexp_extract_all(seq, pattern, 0)"))).alias("matches"))
 
 
@@ -53,8 +60,7 @@ def column_ic(seqs: DataFrame) -> DataFrame:
 
 def ppm(patterns: DataFrame, seqs: DataFrame) -> DataFrame:
     """(pattern, pos, chr, w): each sequence deals a weight of one evenly to its matches; pos from 1."""
-    d = seqs.join(F.broadcast(patterns.select("pattern")), F.expr("seq rlike pattern"))
-    d = d.select("pattern", F.expr("regexp_extract_all(seq, pattern, 0)").alias("found"))
+    d = matching(patterns, seqs).select("pattern", F.expr("regexp_extract_all(seq, pattern, 0)").alias("found"))
     d = d.select("pattern", (1 / F.size("found")).alias("w"), F.explode("found").alias("m"))
     letters = d.select("pattern", "w", F.posexplode(F.split("m", "")).alias("pos", "chr")).where("chr <> ''")
     return letters.groupBy("pattern", (F.col("pos") + 1).alias("pos"), "chr").agg(F.sum("w").alias("w"))
@@ -68,9 +74,9 @@ def logo(ppm: DataFrame) -> DataFrame:
     return d.join(bits, ["pattern", "pos"]).select("pattern", "pos", "chr", (F.col("f") * F.col("bits")).alias("height"))
 
 
-def pwm_counts(kmers: DataFrame) -> DataFrame:
+def pwm_counts(words: DataFrame) -> DataFrame:
     """(pattern, pos, chr, n) of (pattern, kmer)."""
-    return kmers.select("pattern", F.posexplode(F.split("kmer", "")).alias("pos", "chr")).where("chr <> ''").groupBy("pattern", "pos", "chr").agg(F.count("*").alias("n"))
+    return words.select("pattern", F.posexplode(F.split("kmer", "")).alias("pos", "chr")).where("chr <> ''").groupBy("pattern", "pos", "chr").agg(F.count("*").alias("n"))
 
 
 def offset_similarities(ppm: DataFrame, least_overlap: int = 2, alphabet: int = 4) -> DataFrame:
