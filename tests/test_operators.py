@@ -523,3 +523,29 @@ def test_flow_finds_a_planted_motif(spark):
     assert set(motifs) <= {r.pattern for r in got["cores"].collect()} <= {r.pattern for r in got["patterns"].collect()}
     empty = flow.find(spark.createDataFrame(rows[:5], "seq_id long, seq string"), spark.createDataFrame(refs, "ref_id long, seq string"), ks=(4,), n_samples=3, threshold=2.0)
     assert all(t.count() == 0 for t in empty.values())
+
+
+def test_merged_tops_by_hand(spark, seqs):
+    """The tops of each number of merged letters, with merges, coverage and ties by hand."""
+    rows, n = sequences(), 6
+
+    def text(sets):
+        return "".join(c if len(c) == 1 else f"[{c}]" for c in sets)
+
+    def merged(p, q):
+        cost = sum(0 if a == b else 0.6 if a in b or b in a else 1 for a, b in zip(p, q))
+        out = tuple("".join(sorted(set(a + b))) for a, b in zip(p, q))
+        return out if 0 < cost <= 1 and max(map(len, out)) < 4 else None
+
+    def best(found):
+        cov = {p: sum(bool(re.search(text(p), s)) for _, s in rows) for p in found}
+        return sorted(found, key=lambda p: (-cov[p], text(p)))[:n], cov
+
+    first, cov = best({tuple(s[i : i + 3]) for _, s in rows for i in range(len(s) - 2)})
+    want, state = {(0, text(p), cov[p]) for p in first}, first
+    for i in (1, 2):
+        grown = {m for p in state for q in first if p != q and (m := merged(p, q)) and sum(len(c) - 1 for c in m) == i}
+        state, cov = best(grown)
+        want |= {(i, text(p), cov[p]) for p in state}
+    idx = kmers.index(seqs, [3])
+    assert {tuple(r) for r in search.merged_tops(kmers.coverage(idx), idx, n).select("merge_cnt", "pattern", "cov").collect()} == want
