@@ -37,7 +37,7 @@ SWEEPS, SAMPLES = 2, 3
 #: Strengths of the restaurants of two words, of one, and of none.
 STRENGTHS = (1.0, 1.0, 1.0)
 #: Tokens of a block and of a part, about.
-BLOCK_TOKENS, PART_TOKENS = 1 << 22, 2_500_000
+BLOCK_TOKENS, PART_TOKENS = 3 << 20, 2_500_000
 #: Bins of word hashes whose loads are counted first.
 BIN_BITS = 16
 #: A context word's load is counted by itself where more than one of so many of a block's tokens are it.
@@ -191,12 +191,14 @@ def _blocks(sent, block_tokens: int):
             nonlocal block, held
             size = np.concatenate(sizes)
             ids, null, out = (np.concatenate(x) for x in zip(*facts))
-            requests, order = request(np.concatenate(tokens), size, np.repeat(out == 0, size), layout)
+            w = np.concatenate(tokens)
+            tokens.clear()
+            requests, order = request(w, size, np.repeat(out == 0, size), layout)
             for part, blob in requests:
                 yield _row(["request", "rows"], part, block, request=blob)
             yield _row(["request", "rows"], block % layout.parts, block, rows=_dump(ids, null, out, size, order))
             block, held = block + 1, 0
-            tokens.clear(), sizes.clear(), facts.clear()
+            sizes.clear(), facts.clear()
 
         for batch in batches:
             ids = batch.column("doc_id")
@@ -226,7 +228,7 @@ def _blocks(sent, block_tokens: int):
 def request(w: np.ndarray, size: np.ndarray, train: np.ndarray, layout: Layout) -> tuple[list[tuple[int, bytes]], np.ndarray]:
     """Distinct runs of three words by part, and each token's place among all of them in the order of parts.
 
-    The words two before only have to be told apart among those of one context word, so 40 bits are sent of them.
+    The words two before only have to be told apart among those of one context word, so 36 bits are sent of them.
     """
     words, i0 = np.unique(np.append(w, U64(_BEGIN)), return_inverse=True)
     i0 = i0.astype(np.int32)
@@ -250,14 +252,14 @@ def request(w: np.ndarray, size: np.ndarray, train: np.ndarray, layout: Layout)
         l1, l0 = np.split(local.astype("<u4"), 2)
         changed = np.append(True, l1[1:] != l1[:-1])
         step2 = np.where(changed, local2, np.diff(local2, prepend=0)).astype("<u4")  # rising after each new context word
-        out.append((int(part[s[0]]), _dump(_steps(words[used]), _steps(words[used2] >> U64(24)), np.diff(l1, prepend=np.uint32(0)), step2, l0, n[s])))
+        out.append((int(part[s[0]]), _dump(_steps(words[used]), _steps(words[used2] >> U64(28)), np.diff(l1, prepend=np.uint32(0)), step2, l0, n[s])))
     rank = np.empty(len(order), "<u4")
     rank[order] = np.arange(len(order))
     return out, rank[place]
 
 
 def _requested(blob: bytes) -> tuple[np.ndarray, ...]:
-    """A request's words, its words two before (40 bits), the places of each run's three words in them, and its count."""
+    """A request's words, its words two before (36 bits), the places of each run's three words in them, and its count."""
     words, words2, step1, step2, l0, n = _load(blob)
     l1 = np.cumsum(step1, dtype=np.int64)
     # sums of the steps since the last new context word
@@ -283,8 +285,8 @@ class Part:
         words, words2 = (np.unique(np.concatenate([x[i] for x in loaded])) for i in (0, 1))
         keys, n = [[], [], []], []
         for used, used2, l1, l2, l0, k in loaded:
-            at = np.searchsorted(words, used)
-            for key, i in zip(keys, (at[l1], np.searchsorted(words2, used2)[l2], at[l0])):
+            at, at2 = np.searchsorted(words, used).astype(np.int32), np.searchsorted(words2, used2).astype(np.int32)
+            for key, i in zip(keys, (at[l1], at2[l2], at[l0])):
                 key.append(i)
             n.append(k)
         sizes = [len(x) for x in n]
