@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifmill.llm import bitplane, bm25, chaining, chosenpath, curriculum, hpylm, lengths, licenses, quality, toolcalls
+from motifmill.llm import bitplane, bm25, chaining, chosenpath, curriculum, hpylm, interactions, lengths, licenses, quality, ranking, salvage, toolcalls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,10 +72,27 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove of each source's documents in all orders, and their Shapley values; as `interactions.audit`."""
+    cells = interactions.document_cells(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return interactions.audit(cells, interactions.FILTERS)
+
+
+def op12_length_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item; as `ranking.best`."""
+    return ranking.best(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What archives of all pages give back; as `salvage.round_trip`."""
+    return salvage.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_hpylm_score, op2_bitplane_ids, op3_collinear_passages, op4_bm25_decontamination, op5_curriculum_mix,
         op6_tool_call_links, op7_length_histogram, op8_chosen_path_join, op9_quality_rules, op10_license_scan,
+        op11_filter_interactions, op12_length_strata, op13_warc_salvage,
     )
     return {f.__name__: f for f in every}
 

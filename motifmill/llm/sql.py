@@ -53,7 +53,6 @@ FROM calls c JOIN places p USING (conv_id, call_id) LEFT JOIN results r USING (c
 """
 
 
-
 def _license_scan() -> str:
     """Words, rolling 3-grams and diagonals as lists and joins; the templates are those of the operator."""
     from motifmill.llm import licenses as L
@@ -84,5 +83,48 @@ SELECT doc_id, n_words::BIGINT AS n_words, len(every)::BIGINT AS n_base, (list_m
 FROM base LEFT JOIN best USING (rn)
 """
 
+#: Counts by the filters that documents fail; every order's steps add them up.
+_OP11 = r"""
+WITH l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t))::INT
+  + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask
+  FROM d LEFT JOIN l USING (doc_id)),
+cells AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, step, substr(filter_order, step, 1) AS filter, 1 << (ascii(substr(filter_order, step, 1)) - 65) AS own,
+  coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(substr(filter_order, i, 1)) - 65))), 0)::INT AS ahead FROM orders, range(1, 6) r(step)),
+s AS (SELECT part, filter_order, step, filter, coalesce(sum(n) FILTER (mask & (own | ahead) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & own > 0 AND mask & ahead = 0), 0) AS removed,
+  coalesce(sum(n) FILTER (mask & own > 0 AND mask & ahead > 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = own), 0) AS unique_fails,
+  coalesce(sum(good) FILTER (mask & own > 0 AND mask & ahead = 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (mask & own > 0 AND mask & ahead = 0), 0) AS toxic_lost
+  FROM cells, steps GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, filter, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM s
+"""
+
+#: Every document's score for every item that shares a term with it.
+_OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT count(*) AS nn, sum(len(w))::BIGINT AS ll FROM d WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+tf AS (SELECT rn, term, count(*) AS tf FROM (SELECT rn, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+wt AS (SELECT term, floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY term, nn),
+m AS (SELECT rn, doc_id, 10 + (90 * len(w)::BIGINT * nn) // ll AS m FROM d, s WHERE len(w) > 0),
+sc AS (SELECT item_id, rn, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN tf USING (term) JOIN wt USING (term) JOIN m USING (rn) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM sc WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+#: Base 32 from five hexadecimal digits at a time.
+_OP13 = r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last_id FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) % 32 + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = last_id OR last_id IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = last_id THEN NULL ELSE last_id END AS refers_to, url FROM r
+"""
+
 
-ORACLES = {"op10_license_scan": _license_scan(), "op6_tool_call_links": _OP6, "op5_curriculum_mix": _OP5}
+ORACLES = {"op11_filter_interactions": _OP11, "op12_length_strata": _OP12, "op13_warc_salvage": _OP13, "op10_license_scan": _license_scan(), "op6_tool_call_links": _OP6, "op5_curriculum_mix": _OP5}
