@@ -112,8 +112,8 @@ def parsed(data: bytes, at: int) -> tuple[Found, int] | str:
             return "a header without a name"
         last = name.strip().lower()
         headers[last] = value.strip()
-    if not re.fullmatch("[0-9]+", headers.get("content-length", "")) or "warc-type" not in headers:
-        return "no length or type"
+    if not re.fullmatch("[0-9]+", headers.get("content-length", "")) or not {"warc-type", "warc-record-id", "warc-date"} <= headers.keys():
+        return "a header that every record has is missing"
     first = end + len(END)
     after = first + int(headers["content-length"])
     if data[after : after + len(END)] != END:
@@ -123,21 +123,8 @@ def parsed(data: bytes, at: int) -> tuple[Found, int] | str:
 
 
 def plain(data: bytes) -> Iterator[Found]:
-    """All records of uncompressed bytes, and the gaps between them: every byte is in one of both."""
-    at = 0
-    while at < len(data):
-        got = parsed(data, at)
-        if not isinstance(got, str):
-            yield got[0]
-            at = got[1]
-            continue
-        begin, why = at, got
-        while True:  # the next version line whose record passes
-            m = VERSION.search(data, at + 1)
-            at = m.start() if m else len(data)
-            if not m or not isinstance(parsed(data, at), str):
-                break
-        yield Found("gap", begin, at - begin, reason=why)
+    """All records of bytes that aren't packed, and the gaps between them: every byte is in one of both."""
+    return scanned(data, packed=False)
 
 
 def _inflated(data: bytes, at: int) -> tuple[bytes, int | None, str | None]:
@@ -156,37 +143,54 @@ def _inflated(data: bytes, at: int) -> tuple[bytes, int | None, str | None]:
     return b"".join(out), None, "member: cut off"
 
 
-def members(data: bytes) -> Iterator[Found]:
-    """All records of gzip members, and the gaps: members that fail, bytes between members, and parts of members that are no records.
+def _beginning(data: bytes, at: int, packed: bool) -> tuple[list[Found], int] | str:
+    """The records of what begins at a place, if it passes its checks, and the place after it; else why it doesn't."""
+    if packed and data[at : at + 3] == MAGIC:
+        unpacked, after, why = _inflated(data, at)
+        if after is None:
+            return why
+        return [Found(f.kind, at, after - at, f.offset, f.reason, f.headers, f.block) for f in plain(unpacked)], after
+    got = parsed(data, at)
+    return got if isinstance(got, str) else ([got[0]], got[1])
+
 
-    Records that a broken member unpacks to whole before it breaks are recovered too; the gap begins with
-    that member all the same. Gaps within a good member have its place and their own place in what it unpacks
-    to (inner).
+def _next(data: bytes, at: int, packed: bool) -> int:
+    """The first place from `at` on where a member or record begins that passes its checks; the end if none does."""
+    line, mark = -1, -1
+    while at < len(data):
+        if line < at:
+            m = VERSION.search(data, at)
+            line = m.start() if m else len(data)
+        if mark < at:
+            mark = data.find(MAGIC, at) if packed else len(data)
+            mark = len(data) if mark < 0 else mark
+        at = min(line, mark)
+        if at < len(data) and not isinstance(_beginning(data, at, packed), str):
+            break
+        at += 1
+    return min(at, len(data))
+
+
+def scanned(data: bytes, packed: bool = True) -> Iterator[Found]:
+    """All records of an archive's bytes, and the gaps: members and records that fail, bytes between them, and parts of good members that are no records.
+
+    Files may have members, plain records or both. Records that a broken member unpacks to whole before it
+    breaks are recovered too; the gap begins with that member all the same. Gaps within a good member have its place
+    and their own place in what it unpacks to (inner).
     """
     at = 0
     while at < len(data):
-        unpacked, after, why = _inflated(data, at)
-        if after is not None:
-            for f in plain(unpacked):
-                yield Found(f.kind, at, after - at, f.offset, f.reason, f.headers, f.block)
-            at = after
+        got = _beginning(data, at, packed)
+        if not isinstance(got, str):
+            yield from got[0]
+            at = got[1]
             continue
-        begin = at
-        early = [f for f in plain(unpacked) if f.kind == "record"]
-        while True:  # the next member that unpacks
-            at = data.find(MAGIC, at + 1)
-            at = len(data) if at < 0 else at
-            if at == len(data) or _inflated(data, at)[1] is not None:
-                break
-        for f in early:
-            yield Found(f.kind, begin, at - begin, f.offset, f.reason, f.headers, f.block)
-        yield Found("gap", begin, at - begin, reason=why)
-
-
-def scanned(data: bytes) -> Iterator[Found]:
-    """`members` if a member's mark comes before any version line, else `plain`."""
-    m, packed = VERSION.search(data), data.find(MAGIC)
-    return members(data) if packed >= 0 and (not m or packed < m.start()) else plain(data)
+        begin, at = at, _next(data, at + 1, packed)
+        if packed and data[begin : begin + 3] == MAGIC:
+            for f in plain(_inflated(data, begin)[0]):
+                if f.kind == "record":
+                    yield Found(f.kind, begin, at - begin, f.offset, None, f.headers, f.block)
+        yield Found("gap", begin, at - begin, reason=got)
 
 
 SCHEMA = "file string, kind string, offset long, length long, inner long, reason string, record_type string, record_id string, refers_to string, url string, payload_digest string, payload_bytes long, payload binary"
@@ -229,7 +233,7 @@ def read(spark, path: str, payloads: bool = True) -> DataFrame:
 
     kind is "record" or "gap". Of gzip files a record's offset and length are those of its member, inner its place in
     what the member unpacks to; plain files have inner 0. A record passes all its checks: version line,
-    headers, length, end, and block and payload digests where it has SHA-1 ones; other bytes are in gaps,
+    headers that every record has, length, end, and block and payload digests where it has SHA-1 ones; other bytes are in gaps,
     whose reason is the check that failed first. Each file is scanned by one task that holds it whole (2 GB at most, and
     the largest record of a gzip file unpacked); lost executors mean their files are scanned again. Files
     without bytes give no rows.
