@@ -196,7 +196,8 @@ def _blocks(sent, block_tokens: int):
             requests, order = request(w, size, np.repeat(out == 0, size), layout)
             for part, blob in requests:
                 yield _row(["request", "rows"], part, block, request=blob)
-            yield _row(["request", "rows"], block % layout.parts, block, rows=_dump(ids, null, out, size, order))
+            spread = int(text.mix(np.array([block], U64))[0]) % layout.parts  # blocks are numbered in steps, so their remainders aren't even
+            yield _row(["request", "rows"], spread, block, rows=_dump(ids, null, out, size, order))
             block, held = block + 1, 0
             sizes.clear(), facts.clear()
 

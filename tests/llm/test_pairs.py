@@ -187,7 +187,7 @@ def test_passage_whose_seeds_were_seen_in_other_documents(spark):
     for i in (60, 70, 80):
         rows.append((i, " ".join([f"a{i}x{j}" for j in range(40)] + shared + [f"b{i}x{j}" for j in range(40)]), *documents()[0][2:]))
     got = {(r.doc_id, r.other_id, r.first_word, r.last_word, r.n_equal) for r in chaining.passages(frame(spark, rows)).collect()}
-    assert got == {(70, 60, 40, 99, 60), (80, 70, 40, 99, 60)}
+    assert got == {(70, 60, 40, 99, 60), (80, 60, 40, 99, 60), (80, 70, 40, 99, 60)}
 
 
 def test_links_with_the_document_before(monkeypatch):
@@ -279,3 +279,57 @@ def test_leaks(spark):
         assert clean.columns == frame(spark, rows).columns and clean.count() == len(rows) - 3
     assert bm25.leaks(frame(spark, []), bench_items(spark, items)).count() == 0
     assert bm25.leaks(frame(spark, rows), bench_items(spark, [])).count() == 0
+
+
+def linked(rows, by):
+    """Sets of documents that rows link, directly or through others."""
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for r in rows:
+        root[find(r.doc_id)] = find(r.other_id)
+    return {x: find(x) for x in by}
+
+
+def test_shorter_copies_on_both_sides_hide_no_passage(spark):
+    """Documents 11 and 22 hold the same 60 words; ten before and ten in between hold 18 of them each."""
+    r = random.Random(3)
+    shared = [f"p{i}" for i in range(60)]
+    noise = lambda n: [f"n{r.randrange(10**9)}" for _ in range(n)]
+    docs = {}
+    for i in range(10):
+        at = 42 * i // 9
+        docs[i + 1], docs[i + 12] = (noise(40) + shared[at : at + 18] + noise(40) for _ in range(2))
+    docs[11], docs[22] = noise(30) + shared + noise(50), noise(70) + shared
+    rows = [(i, " ".join(w), "en", "s", 0, 1.0, 7, "r", 3, "p", True) for i, w in docs.items()]
+    got = [(x.doc_id, x.first_word, x.last_word, x.other_id, x.other_first, x.other_last, x.n_equal) for x in chaining.passages(frame(spark, rows)).collect()]
+    assert got == [(22, 70, 129, 11, 30, 89, 60)]
+
+
+def test_every_shared_run_of_51_words_is_linked(spark):
+    """All rows of small corpora of overlapping passages: against all pairs of documents with 51 equal words in a row."""
+    for seed in range(2):
+        r = random.Random(seed)
+        pool = [f"w{i}" for i in range(400)]
+        docs = {}
+        for i in range(60):
+            out = []
+            for _ in range(r.randrange(1, 4)):
+                at, n = r.randrange(340), r.choice([12, 20, 28, 35, 51, 60, 90])
+                out += pool[at : at + n] + [f"x{r.randrange(10**9)}" for _ in range(r.randrange(3, 30))]
+            docs[i] = out
+        runs = {i: {tuple(w[k : k + 51]) for k in range(len(w) - 50)} for i, w in docs.items()}
+        short = {i: {tuple(w[k : k + 30]) for k in range(len(w) - 29)} for i, w in docs.items()}
+        rows = chaining.passages(frame(spark, [(i, " ".join(w), "en", "s", 0, 1.0, 7, "r", 3, "p", True) for i, w in docs.items()])).collect()
+        member = linked(rows, docs)
+        pairs = [(a, b) for a in docs for b in docs if b < a and runs[a] & runs[b]]
+        assert len(pairs) > 50 and all(member[a] == member[b] for a, b in pairs)
+        for x in rows:  # and every row is a passage
+            a, b = docs[x.doc_id][x.first_word : x.last_word + 1], docs[x.other_id][x.other_first : x.other_last + 1]
+            assert x.n_equal >= 30 and x.identity >= 0.8 and x.other_id < x.doc_id and a[0] == b[0] and a[-1] == b[-1]
+            if a == b:
+                assert x.n_equal == len(a) and short[x.doc_id] & short[x.other_id]
