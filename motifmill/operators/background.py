@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motifmill.functions import patterns as P
-from motifmill.session import save
+from motifmill.operators.draws import Draws
 
 
 def _number(*parts: Column) -> Column:
@@ -17,14 +15,24 @@ def _number(*parts: Column) -> Column:
 
 
 def pool(refs: DataFrame, shortest: int, longest: int, shuffled: bool = True, seed: str = "7", rna: bool = True) -> DataFrame:
-    """(ref_id, seg): one segment of hashed length and start of each reference (ref_id, seq) long enough for it, its letters shuffled by hash."""
+    """(ref_id, seg): one segment of random length and start of each reference (ref_id, seq), its letters shuffled; all by hash.
+
+    A length that leaves fewer than two places to start from is drawn again, three lengths at most. A start whose segment has
+    an N is drawn again; draws again of both kinds are four at most. References for which that isn't enough
+    have no segment. rna turns T into U.
+    """
     key = F.col("ref_id").cast("string")
-    d = refs.withColumn("n", (F.lit(shortest) + _number(F.lit(seed + "n"), key) % (longest - shortest + 1)).cast("int"))
-    d = d.where((F.length("seq") > F.col("n")) & ~F.col("seq").contains("N"))
-    start = _number(F.lit(seed + "s"), key) % (F.length("seq") - F.col("n") + 1) + 1
-    seg = F.substring("seq", start.cast("int"), F.col("n"))
-    if rna:
-        seg = F.translate(seg, "T", "U")
+    number = lambda what: _number(F.lit(seed + what), key)
+    lengths = F.array(*[(F.lit(shortest) + number(f"n{i or ''}") % (longest - shortest + 1)).cast("int") for i in range(3)])
+    long_enough = F.filter(F.transform(lengths, lambda n, i: F.struct(n.alias("n"), i.alias("i"))), lambda x: F.length("seq") > x["n"] + 1)
+    d = refs.withColumn("drawn", F.get(long_enough, F.lit(0))).where("drawn is not null")
+    starts = F.array(*[number(f"s{i or ''}") for i in range(5)])
+    places = F.length("seq") - F.col("drawn.n")
+    usable = F.slice(starts, F.lit(1), 5 - F.col("drawn.i"))
+    segs = F.transform(usable, lambda s: F.substring("seq", (s % places + 1).cast("int"), F.col("drawn.n")))
+    seg = F.get(F.filter(segs, lambda x: ~x.contains("N")), F.lit(0))
+    d = d.select("ref_id", seg.alias("seg")).where("seg is not null")
+    seg = F.translate("seg", "T", "U") if rna else F.col("seg")
     if shuffled:
         letters = F.filter(F.split(seg, ""), lambda c: c != "")
         place = F.transform(letters, lambda c, i: F.struct(F.md5(F.concat(F.lit(seed), key, F.lit("/"), i.cast("string")).cast("binary")).alias("h"), c.alias("c")))
@@ -33,28 +41,12 @@ def pool(refs: DataFrame, shortest: int, longest: int, shuffled: bool = True, se
 
 
 def samples(refs: DataFrame, n_samples: int, size: int, seed: str = "7") -> DataFrame:
-    """(sample_id, ref_id): for each sample the `size` references of the least hash, a draw without replacement.
-
-    Only references whose hash is below a bound that `size` of them hardly ever miss are ranked, so that the
-    rows of a sample are about those drawn and not the whole pool; should a sample have fewer, all are ranked.
-    Written in the shared folder.
-    """
-    every = refs.select("ref_id", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("sample_id"))
-    h = F.md5(F.concat(F.lit(seed), F.col("sample_id").cast("string"), F.lit("/"), F.col("ref_id").cast("string")).cast("binary"))
-    every = every.withColumn("h", h)
-    n = refs.count()
-    w = Window.partitionBy("sample_id").orderBy("h", "ref_id")  # the window's limit is applied before the shuffle too
-    drawn = lambda d: save(d.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= size).select("sample_id", "ref_id"), "samples")
-    bound = (size + 8 * math.sqrt(size) + 8) / max(n, 1)
-    if bound < 1:
-        out = drawn(every.where(F.left("h", F.lit(8)) <= f"{int(bound * (1 << 32)):08x}"))
-        if out.count() == n_samples * size:
-            return out
-    return drawn(every)
+    """(sample_id, ref_id): for each sample `size` of the references, drawn without replacement as in `draws.Draws`."""
+    return Draws(refs, n_samples, size, seed).rows()
 
 
 def sampled_coverage(ref_words: DataFrame, drawn: DataFrame, key: str) -> DataFrame:
-    """(key, sample_id, cov): sequences of each sample with the word; ref_words is (key, ref_id), distinct."""
+    """(key, sample_id, cov): sequences of each sample with the word; ref_words is (key, ref_id), distinct. By joining rows; `Draws.coverage` counts without."""
     return ref_words.join(drawn, "ref_id").groupBy(key, "sample_id").agg(F.count("*").alias("cov"))
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from motifmill.session import save
+
 
 def histogram(d: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
     """(bin, n): 0 below low, 1..bins of equal width, bins + 1 from high on."""
@@ -44,6 +48,26 @@ def by_title(seqs: DataFrame, length: int = 3) -> DataFrame:
     return seqs.withColumn("species", F.left("title", F.lit(length)))
 
 
+def by_prefix(rows: DataFrame, name: str, separator: str = "_") -> DataFrame:
+    """(category, n, members): rows by what stands before the first separator of their name, and the different rests of their names."""
+    at = F.instr(F.col(name), F.lit(separator))
+    category = F.when(at > 0, F.expr(f"left(`{name}`, instr(`{name}`, '{separator}') - 1)")).otherwise(F.col(name))
+    rest = F.when(at > 0, F.expr(f"substring(`{name}`, instr(`{name}`, '{separator}') + {len(separator)})")).otherwise("")
+    d = rows.where(F.col(name).isNotNull()).select(category.alias("category"), rest.alias("rest")).groupBy("category", "rest").agg(F.count("*").alias("n"))
+    return d.groupBy("category").agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_list("rest")), ",").alias("members"))
+
+
+def distinct_species(rows: DataFrame, experiments: DataFrame) -> DataFrame:
+    """(id, species), in lower case and each once, of the rows (id, species, experiment) of certain experiments (experiment)."""
+    d = rows.join(experiments.select("experiment").distinct(), "experiment", "left_semi")
+    return d.select(F.lower("id").alias("id"), F.lower("species").alias("species")).distinct()
+
+
+def clean_records(records: DataFrame) -> DataFrame:
+    """The records (title, seq) that are neither empty nor have an N or an S."""
+    return records.where((F.col("seq") != "") & ~F.col("seq").rlike("[NS]"))
+
+
 def segments(wanted: DataFrame, seqs: DataFrame) -> DataFrame:
     """(id, accession, seq): of each id's intervals (id, accession, first, last) the shortest, cut from that accession's sequence.
 
@@ -61,8 +85,44 @@ def event_strings(events: DataFrame) -> DataFrame:
     return d.select("user_id", "day", F.array_join(F.transform("e", lambda x: x["c"]), "").alias("seq"))
 
 
-def indented(lines: DataFrame) -> DataFrame:
-    """(n, path) of an indented outline (n, line): each line with its last ancestor at depth 0."""
-    w = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    top = F.last(F.when(~F.col("line").rlike(r"^\s"), F.trim("line")), ignorenulls=True).over(w)
-    return lines.select("n", F.concat_ws("/", top, F.when(F.col("line").rlike(r"^\s"), F.trim("line"))).alias("path"))
+def indented(lines: DataFrame, parts: int = 8) -> DataFrame:
+    """(n, depth, path) of an indented outline (n, line): each line behind all its ancestors, joined by " / "; blank lines are left out.
+
+    A line's parent is the last one before it that is indented less. Lines are split into `parts` runs of n, which each task goes
+    through with a stack of open ancestors. A run tells what it leaves open and how far it unindents; from
+    that, a short list, follows what is open where each run begins, and each line is completed by
+    the open ones that are indented less than its first ancestor in the run.
+    """
+    spark = lines.sparkSession
+    d = lines.select(F.col("n").cast("long").alias("n"), "line").where(F.trim("line") != "").repartitionByRange(parts, "n").sortWithinPartitions("n")
+    local = save(d.mapInArrow(_run, "part int, n long, root int, path array<string>, open array<struct<indent int, line string>>"), "outline")
+    carried, stack = [], []
+    for r in local.where("n is null").orderBy("part").collect():  # a row for each run, as long as the outline is deep
+        carried.append((r.part, [tuple(x) for x in stack]))
+        stack = [x for x in stack if x[0] < r.root] + [(x.indent, x.line) for x in r.open]
+    ahead = F.broadcast(spark.createDataFrame(carried, "part int, carried array<struct<indent: int, line: string>>"))
+    joined = local.where("n is not null").join(ahead, "part")
+    over = F.transform(F.filter("carried", lambda x: x["indent"] < F.col("root")), lambda x: x["line"])
+    path = F.concat(over, "path")
+    return joined.select("n", (F.size(path) - 1).alias("depth"), F.array_join(path, " / ").alias("path"))
+
+
+def _run(batches):
+    stack, least, part = [], None, TaskContext.get().partitionId()
+    for batch in batches:
+        rows = []
+        for n, line in zip(batch.column("n").to_pylist(), batch.column("line").to_pylist()):
+            indent = len(line) - len(line.lstrip())
+            while stack and stack[-1][0] >= indent:
+                stack.pop()
+            stack.append((indent, line.strip()))
+            least = indent if least is None else min(least, indent)
+            rows.append((part, n, stack[0][0], [x for _, x in stack], None))
+        yield _outline(rows)
+    if stack:
+        yield _outline([(part, None, least, None, [{"indent": i, "line": x} for i, x in stack])])
+
+
+def _outline(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.struct([("indent", pa.int32()), ("line", pa.string())]))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, kinds)], ["part", "n", "root", "path", "open"])

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motifmill.functions import patterns as P
 from motifmill.operators import kmers
+from motifmill.session import save
 
 
 def segment_merge(words: DataFrame, group: str) -> DataFrame:
@@ -79,27 +80,55 @@ def pwm_counts(words: DataFrame) -> DataFrame:
     return words.select("pattern", F.posexplode(F.split("kmer", "")).alias("pos", "chr")).where("chr <> ''").groupBy("pattern", "pos", "chr").agg(F.count("*").alias("n"))
 
 
+def matrices(ppm: DataFrame, alphabet: int = 4) -> DataFrame:
+    """(pattern, n, unit): a row for each pattern of (pattern, pos, chr, w), `unit` with `alphabet` numbers for each of its n places in order of pos.
+
+    The numbers are the letters' shares less 1 / alphabet, over the root of their squares' sum, so that the
+    product of two places is Pearson's r with the mean fixed at 1 / alphabet; those of a uniform place are 0. Letters
+    that no place has are 0 in all.
+    """
+    letters = sorted(r.chr for r in ppm.select("chr").distinct().limit(alphabet + 1).collect())
+    if len(letters) > alphabet:
+        raise ValueError(f"more than {alphabet} letters")
+    mean = 1 / alphabet
+    place = ppm.groupBy("pattern", "pos").agg(F.sum("w").alias("all"), *[F.sum(F.when(F.col("chr") == c, F.col("w")).otherwise(0.0)).alias(f"w{i}") for i, c in enumerate(letters)])
+    spread = [F.col(f"w{i}") / F.col("all") - mean for i in range(len(letters))] + [F.lit(-mean)] * (alphabet - len(letters))
+    norm = F.sqrt(sum((x * x for x in spread), F.lit(0.0)))
+    unit = F.array(*[F.when(F.col("norm") > 1e-6, x / F.col("norm")).otherwise(0.0) for x in spread])
+    place = place.withColumn("norm", norm).select("pattern", "pos", unit.alias("unit"))
+    rows = place.groupBy("pattern").agg(F.array_sort(F.collect_list(F.struct("pos", "unit"))).alias("p"))
+    return rows.select("pattern", F.size("p").alias("n"), F.flatten(F.transform("p", lambda x: x["unit"])).alias("unit"))
+
+
+def pattern_pairs(rows: DataFrame, blocks: int = 4) -> DataFrame:
+    """(a, b) of all pairs of rows (pattern, ..) with a.pattern > b.pattern, as structs: rows are dealt to blocks, and pairs of blocks are joined on their numbers."""
+    d = rows.select(F.struct(*rows.columns).alias("x"), F.pmod(F.xxhash64("pattern"), F.lit(blocks)).cast("int").alias("block"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = d.select(F.col("x").alias("a"), F.col("block").alias("i"), every.alias("j"))
+    b = d.select(F.col("x").alias("b"), every.alias("i"), F.col("block").alias("j"))
+    return a.join(b, ["i", "j"]).where("a.pattern > b.pattern").select("a", "b")
+
+
+def overlap_of(n1: Column, n2: Column, offset: Column) -> Column:
+    """Places of a first matrix of n1 that lie over one of n2 that begins `offset` places before it."""
+    return F.least(n1, n2 - offset) - F.greatest(-offset, F.lit(0))
+
+
 def offset_similarities(ppm: DataFrame, least_overlap: int = 2, alphabet: int = 4) -> DataFrame:
     """(p1, p2, offset, overlap, pcc) for pairs p1 > p2 and every offset with enough overlap.
 
     pcc: the sum over the overlap's places of Pearson's r of the letters' shares, with their mean fixed at
-    1 / alphabet; a uniform place adds nothing. A place's products need its rows with letters only, as
-    sum((x - m)(y - m)) = sum(x y) - m.
+    1 / alphabet; a uniform place adds nothing. Place i of p1 lies over place i + offset of p2. A pattern is one row with its
+    matrix as an array, and a pair's offsets are one expression.
     """
-    total = ppm.groupBy("pattern", "pos").agg(F.sum("w").alias("all"))
-    f = ppm.join(total, ["pattern", "pos"]).select("pattern", "pos", "chr", (F.col("w") / F.col("all")).alias("f"))
-    norm = f.groupBy("pattern", "pos").agg((F.sum(F.col("f") * F.col("f")) - 1 / alphabet).alias("v"))
-    a = norm.select(F.col("pattern").alias("p1"), F.col("pos").alias("i"), F.col("v").alias("v1"))
-    b = norm.select(F.col("pattern").alias("p2"), F.col("pos").alias("j"), F.col("v").alias("v2"))
-    places = a.join(b, F.col("p1") > F.col("p2"))
-    x = f.select(F.col("pattern").alias("p1"), F.col("pos").alias("i"), "chr", F.col("f").alias("f1"))
-    y = f.select(F.col("pattern").alias("p2"), F.col("pos").alias("j"), "chr", F.col("f").alias("f2"))
-    xy = x.join(y, "chr").where("p1 > p2").groupBy("p1", "p2", "i", "j").agg(F.sum(F.col("f1") * F.col("f2")).alias("xy"))
-    d = places.join(xy, ["p1", "p2", "i", "j"], "left").withColumn("cov", F.coalesce("xy", F.lit(0.0)) - 1 / alphabet)
-    spread = F.sqrt(F.greatest(F.col("v1") * F.col("v2"), F.lit(0.0)))
-    r = F.when(spread > 1e-12, F.col("cov") / spread).otherwise(0.0)
-    d = d.groupBy("p1", "p2", (F.col("j") - F.col("i")).alias("offset")).agg(F.count("*").alias("overlap"), F.sum(r).alias("pcc"))
-    return d.where(F.col("overlap") >= least_overlap)
+    d = pattern_pairs(save(matrices(ppm, alphabet), "matrices"))
+    d = d.select("a", "b", F.explode(F.sequence(1 - F.col("a.n"), F.col("b.n") - 1)).alias("offset"))
+    first = F.greatest(-F.col("offset"), F.lit(0))
+    d = d.withColumn("overlap", overlap_of(F.col("a.n"), F.col("b.n"), F.col("offset"))).where(F.col("overlap") >= least_overlap)
+    cut = lambda m, at: F.slice(F.col(m), (at * alphabet + 1).cast("int"), (F.col("overlap") * alphabet).cast("int"))
+    products = F.zip_with(cut("a.unit", first), cut("b.unit", first + F.col("offset")), lambda x, y: x * y)
+    pcc = F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
+    return d.select(F.col("a.pattern").alias("p1"), F.col("b.pattern").alias("p2"), "offset", F.col("overlap").cast("long").alias("overlap"), pcc.alias("pcc"))
 
 
 def best_offsets(sims: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motifmill.functions import patterns as P
+from motifmill.session import save
 
 
 def index(seqs: DataFrame, ks: list[int], alphabet: str | None = None) -> DataFrame:
@@ -112,6 +113,47 @@ def extend(left: DataFrame, right: DataFrame, n: int) -> DataFrame:
     return left.join(r, ["seq_id", "pos"]).select("seq_id", "pos", F.concat("kmer", "letter").alias("path"))
 
 
+def frequent_paths(seqs: DataFrame, longest: int, least: float, alphabet: str | None = None) -> DataFrame:
+    """(k, kmer, visits, cov) of all runs of 2 to `longest` letters that at least `least` sequences of (seq_id, seq) have.
+
+    Prefix doubling: a run is named by its first occurrence, and a run of k letters is the pair of names of its first and
+    last n letters, n being the largest power of two up to k. Only occurrences of frequent runs
+    of n letters are kept, as no longer run is more frequent; lengths between n and 2 n are counted from them
+    alone, and letters are looked up for the results only.
+    """
+    seqs = seqs.select("seq_id", "seq")
+    first = index(seqs, [2], alphabet).select("seq_id", "pos", F.col("kmer").alias("name"))
+    found, n = [], 2
+    occurrences, runs = _named(first.select("seq_id", "pos", F.struct("name").alias("name")), least, True)
+    found.append(runs.withColumn("k", F.lit(2)))
+    while n < longest:
+        for k in range(n + 1, min(2 * n, longest) + 1):
+            tail = occurrences.select("seq_id", (F.col("pos") - (k - n)).alias("pos"), F.col("name").alias("tail"))
+            pairs = occurrences.join(tail, ["seq_id", "pos"]).select("seq_id", "pos", F.struct("name", "tail").alias("name"))
+            kept, runs = _named(pairs, least, k == 2 * n)
+            found.append(runs.withColumn("k", F.lit(k)))
+        if n * 2 <= longest:
+            occurrences = kept
+            if occurrences.isEmpty():
+                break
+        n *= 2
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    return every.join(seqs, F.col("at.seq_id") == F.col("seq_id")).select("k", F.expr("substring(seq, cast(at.pos as int) + 1, k)").alias("kmer"), "visits", "cov")
+
+
+def _named(d: DataFrame, least: float, keep: bool) -> tuple[DataFrame | None, DataFrame]:
+    """Of (seq_id, pos, name) the occurrences of frequent names, renamed by their first one (saved, if they are to be kept), and (at, visits, cov)."""
+    d = save(d, "occurrences") if keep else d
+    per_seq = d.groupBy("name", "seq_id").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+    runs = per_seq.groupBy("name").agg(F.sum("n").alias("visits"), F.count("*").alias("cov"), F.min(F.struct("seq_id", "pos")).alias("at")).where(F.col("cov") >= least)
+    if not keep:
+        return None, runs.select("at", "visits", "cov")
+    runs = save(runs, "runs")
+    return save(d.join(runs.select("name", "at"), "name").select("seq_id", "pos", F.col("at").alias("name")), "named"), runs.select("at", "visits", "cov")
+
+
 def top(cov: DataFrame, n: int) -> DataFrame:
     """The n k-mers of each length that most sequences have, ties by k-mer."""
     w = Window.partitionBy("k").orderBy(F.col("cov").desc(), "kmer")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from motifmill.functions import patterns as P
 from motifmill.operators import background, degenerate
+from motifmill.operators.draws import Draws
 from motifmill.session import save
 
 
@@ -20,11 +21,10 @@ def frequent(patterns: DataFrame, n_seqs: int, least: float = 0.1) -> DataFrame:
     return patterns.where(F.col("cov") >= least * n_seqs)
 
 
-def sampled_p(patterns: DataFrame, ref_words: DataFrame, drawn: DataFrame, n_samples: int, tests: int) -> DataFrame:
-    """(pattern, p): adjusted extrapolated p-values of (pattern, cov) against samples of reference words (kmer, ref_id)."""
-    hits = degenerate.expansions(patterns).join(ref_words, "kmer").select("pattern", "ref_id").distinct()
+def sampled_p(patterns: DataFrame, draws: Draws, tests: int) -> DataFrame:
+    """(pattern, p): adjusted extrapolated p-values of (pattern, cov) against samples of references."""
     words = patterns.select("pattern", "cov")
-    hist = background.histograms(words, background.sampled_coverage(hits, drawn, "pattern"), n_samples, "pattern")
+    hist = background.histograms(words, draws.coverage(degenerate.expansions(patterns), "pattern"), draws.n_samples, "pattern")
     return save(adjusted(background.p_values(words, hist, "pattern"), tests, "p_extrapolated"), "p")
 
 

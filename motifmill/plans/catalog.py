@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from motifmill.functions import numbers as N
 from motifmill.functions import patterns as P
 from motifmill.operators import background, compare, degenerate, graphs, kmers, search
+from motifmill.operators.draws import PRIME, Draws
 from motifmill.session import save
 from motifmill.sources import fasta
 
@@ -377,9 +378,20 @@ def align_offset(spark, d):
 
 
 _NUM = "('0x' || substr(md5('7{0}' || ref_id::VARCHAR), 1, 8))::BIGINT"
-POOL = f"""{REF}, sized AS (SELECT *, 20 + {_NUM.format("n")} % 9 AS n FROM refs), cut AS (SELECT ref_id, substr(seq, ({_NUM.format("s")} % (32 - n + 1) + 1)::BIGINT, n::BIGINT) AS seg0 FROM sized),
+POOL = f"""{REF}, sized AS (SELECT *, 20 + {_NUM.format("n")} % 9 AS n FROM refs), cut AS (SELECT ref_id, substr(seq, ({_NUM.format("s")} % (32 - n) + 1)::BIGINT, n::BIGINT) AS seg0 FROM sized),
 ref_pool AS (SELECT ref_id, string_agg(substr(seg0, i + 1, 1), '' ORDER BY md5('7' || ref_id || '/' || i)) AS seg FROM cut, range(0, 32) r(i) WHERE i < length(seg0) GROUP BY ref_id)"""
-DRAW = f"drawn AS (SELECT sample_id, ref_id FROM (SELECT s AS sample_id, ref_id, row_number() OVER (PARTITION BY s ORDER BY md5('7' || s || '/' || ref_id), ref_id) AS nth FROM refs, range(0, {SAMPLES}) r(s)) WHERE nth <= (SELECT count(*) FROM pos))"
+
+
+def draw(pool: str, name: str, seed: str) -> str:
+    """SQL of samples of as many references of a pool as there are positive sequences: those of the least hash."""
+    number = lambda i: f"('0x' || substr(m, {i}, 8))::BIGINT % {PRIME}"
+    h = f"((a * x + b) % {PRIME} * x % {PRIME} + (c * y + d) % {PRIME}) % {PRIME}"
+    return f"""{name}_c AS (SELECT sample_id, {number(1)} AS a, {number(9)} AS b, {number(17)} AS c, {number(25)} AS d FROM (SELECT s AS sample_id, md5('{seed}/' || s) AS m FROM range(0, {SAMPLES}) r(s))),
+{name}_r AS (SELECT ref_id, {number(1)} AS x, {number(9)} AS y FROM (SELECT ref_id, md5('{seed}#' || ref_id) AS m FROM {pool})),
+{name} AS (SELECT sample_id, ref_id FROM (SELECT sample_id, ref_id, row_number() OVER (PARTITION BY sample_id ORDER BY {h}, ref_id) AS nth FROM {name}_r, {name}_c) WHERE nth <= (SELECT count(*) FROM pos))"""
+
+
+DRAW = draw("ref_pool", "drawn", "7")
 RK = km([K], "ref_pool", "rk", "ref_id", "seg")
 
 
@@ -387,14 +399,10 @@ def _pool(spark, d):
     return background.pool(references(spark, d), 20, 28)
 
 
-def _drawn(spark, d):
-    """Samples of as many references as there are positive sequences."""
-    return background.samples(references(spark, d), SAMPLES, positives(spark, d).count())
-
-
-def _ref_words(spark, d):
-    p = save(_pool(spark, d), "pool")
-    return kmers.index(p.select(F.col("ref_id").alias("seq_id"), F.col("seg").alias("seq")), [K]).select("kmer", F.col("seq_id").alias("ref_id")).distinct()
+def _draws(spark, d):
+    """Samples of as many references of the pool as there are positive sequences."""
+    p = save(_pool(spark, d), "pool").withColumnRenamed("seg", "seq")
+    return Draws(p, SAMPLES, positives(spark, d).count())
 
 
 SUB = f"WITH {SEQ}, {km([K])}, words AS (SELECT kmer, count(DISTINCT seq_id) AS cov FROM km GROUP BY kmer), {POOL}, {DRAW}, {RK}"
@@ -404,8 +412,7 @@ hist AS (SELECT * FROM (FROM hits UNION ALL SELECT w.kmer, 0, {SAMPLES} - coales
 
 def _hist(spark, d):
     words = save(cov(spark, d).select("kmer", "cov"), "words")
-    sampled = background.sampled_coverage(_ref_words(spark, d).join(words, "kmer", "left_semi"), _drawn(spark, d), "kmer")
-    return words, save(background.histograms(words, sampled, SAMPLES, "kmer"), "hist")
+    return words, save(background.histograms(words, _draws(spark, d).coverage(words, "kmer"), SAMPLES, "kmer"), "hist")
 
 
 @query(f"WITH {POOL} SELECT ref_id, seg FROM ref_pool")
@@ -413,9 +420,25 @@ def bg_pool(spark, d):
     return _pool(spark, d)
 
 
-@query(f"WITH {SEQ}, {REF}, {DRAW} SELECT sample_id::INTEGER AS sample_id, ref_id FROM drawn")
+#: References of many lengths, some with an N for every three A in a row, and with T.
+_MIXED = f"""{REF.replace("refs AS", "refs0 AS")}, refs AS (SELECT ref_id, replace(replace(left(seq, 18 + (ref_id % 15)::INT), 'AAA', 'N'), 'U', 'T') AS seq FROM refs0)"""
+_REDRAWN = f"""{_MIXED}, lens AS (SELECT ref_id, seq, [{", ".join(f"20 + {_NUM.format(f'n{i or str()}')} % 9" for i in range(3))}] AS l, [{", ".join(_NUM.format(f"s{i or str()}") for i in range(5))}] AS s FROM refs),
+used AS (SELECT *, CASE WHEN length(seq) > l[1] + 1 THEN 0 WHEN length(seq) > l[2] + 1 THEN 1 WHEN length(seq) > l[3] + 1 THEN 2 END AS i FROM lens),
+segs AS (SELECT ref_id, list_filter(list_transform(s[1:5 - i], lambda x: substr(seq, (x % (length(seq) - l[i + 1]) + 1)::BIGINT, l[i + 1]::BIGINT)), lambda x: NOT contains(x, 'N'))[1] AS seg0 FROM used WHERE i IS NOT NULL)
+SELECT ref_id, string_agg(substr(replace(seg0, 'T', 'U'), i + 1, 1), '' ORDER BY md5('7' || ref_id || '/' || i)) AS seg FROM segs, range(0, 32) r(i) WHERE i < length(seg0) GROUP BY ref_id"""
+
+
+@query(f"WITH {_REDRAWN}")
+def bg_pool_redrawn(spark, d):
+    """A pool of references of which some are short and some have an N, so that lengths and starts are drawn again."""
+    cut = F.left("seq", (18 + F.col("ref_id") % 15).cast("int"))
+    refs = references(spark, d).select("ref_id", F.translate(F.replace(cut, F.lit("AAA"), F.lit("N")), "U", "T").alias("seq"))
+    return background.pool(refs, 20, 28)
+
+
+@query(f"WITH {SEQ}, {POOL}, {DRAW} SELECT sample_id::INTEGER AS sample_id, ref_id FROM drawn")
 def bg_samples(spark, d):
-    return _drawn(spark, d)
+    return _draws(spark, d).rows()
 
 
 @query(f"{HIST} SELECT kmer, cov, freq FROM hist")
@@ -471,8 +494,7 @@ def pattern_pvalue(spark, d):
     pats = patterns(spark, d)
     tests = pats.count()
     words = save(degenerate.coverage(pats, index(spark, d)), "words")
-    ref = degenerate.expansions(pats).join(_ref_words(spark, d), "kmer").select("pattern", "ref_id").distinct()
-    hist = background.histograms(words, background.sampled_coverage(ref, _drawn(spark, d), "pattern"), SAMPLES, "pattern")
+    hist = background.histograms(words, _draws(spark, d).coverage(degenerate.expansions(pats), "pattern"), SAMPLES, "pattern")
     p = background.p_values(words, hist, "pattern")
     return p.select("pattern", "cov", F.round(background.bonferroni(F.col("p_extrapolated"), F.lit(tests)), 9).alias("p_adjusted"))
 

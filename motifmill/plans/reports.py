@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from motifmill.functions import numbers as N
 from motifmill.functions import patterns as P
 from motifmill.operators import background, degenerate, kmers, report, search
+from motifmill.operators.draws import Draws
 from motifmill.plans import flow
 from motifmill.plans import catalog as c
 from motifmill.plans.catalog import query
@@ -39,7 +40,7 @@ def frequent_patterns(spark, d):
 
 # the second background: whole sequences of customers' keys
 _MIR = f"mir AS (SELECT c_custkey::BIGINT AS ref_id, translate(md5('mir' || c_custkey::VARCHAR),{c._HEX}) AS seq FROM customer)"
-_MIRDRAW = f"mdrawn AS (SELECT sample_id, ref_id FROM (SELECT s AS sample_id, ref_id, row_number() OVER (PARTITION BY s ORDER BY md5('8' || s || '/' || ref_id), ref_id) AS nth FROM mir, range(0, {c.SAMPLES}) r(s)) WHERE nth <= (SELECT count(*) FROM pos))"
+_MIRDRAW = c.draw("mir", "mdrawn", "8")
 
 
 def _p(words: str, drawn: str, index: str, name: str) -> str:
@@ -59,11 +60,9 @@ rep AS (SELECT pattern, ic, cov, rna.p AS first_p, micro.p AS second_p FROM test
 def _report(spark, d):
     tested = _tested(spark, d)
     tests, size = tested.count(), c.positives(spark, d).count()
-    first = report.sampled_p(tested, c._ref_words(spark, d), c._drawn(spark, d), c.SAMPLES, tests)
-    mir = fasta.hashed(c.table(spark, d, "customer"), "c_custkey", "mir")
-    refs = kmers.index(mir, [c.K]).select("kmer", F.col("seq_id").alias("ref_id")).distinct()
-    drawn = background.samples(mir.withColumnRenamed("seq_id", "ref_id"), c.SAMPLES, size, "8")
-    second = report.sampled_p(save(report.worth_second(tested, first), "again"), refs, drawn, c.SAMPLES, tests)
+    first = report.sampled_p(tested, c._draws(spark, d), tests)
+    mir = save(fasta.hashed(c.table(spark, d, "customer"), "c_custkey", "mir").withColumnRenamed("seq_id", "ref_id"), "mir")
+    second = report.sampled_p(save(report.worth_second(tested, first), "again"), Draws(mir, c.SAMPLES, size, "8"), tests)
     return save(report.report(tested, first, second), "report")
 
 
@@ -227,8 +226,8 @@ def cluster_cores_two_groups(spark, d):
 
 @query()
 def motif_flow(spark, d):
-    """Sequences to final motifs of three places, against both backgrounds."""
+    """Sequences to final motifs of two to six places, against both backgrounds."""
     pool = c._pool(spark, d).select("ref_id", F.col("seg").alias("seq"))
     mir = fasta.hashed(c.table(spark, d, "customer"), "c_custkey", "mir").withColumnRenamed("seq_id", "ref_id")
-    found = flow.find(c.positives(spark, d), pool, mir, ks=(3,), n_samples=c.SAMPLES)
+    found = flow.find(c.positives(spark, d), pool, mir, n_samples=c.SAMPLES)
     return found["motifs"].select("k", "pattern", "cov", F.round("ic", 8).alias("ic"), F.round("first_p", 9).alias("first_p"), F.round("second_p", 9).alias("second_p"))

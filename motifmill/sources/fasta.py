@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from motifmill.session import save
+
 RNA = "ACGU"
 #: Hexadecimal digits as letters, four digits to each.
 HEX, LETTERS = "0123456789abcdef", "ACGUACGUACGUACGU"
@@ -23,7 +25,8 @@ def _numbered(d: DataFrame) -> DataFrame:
     block = d.groupBy("file_", "start_").agg(F.min("row_").alias("first_"), F.count("*").alias("n_"))
     before = F.coalesce(F.sum("n_").over(Window.orderBy("file_", "start_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each block of a file
     block = block.select(F.col("file_").alias("f_"), F.col("start_").alias("s_"), (before - F.col("first_")).alias("shift_"))
-    d = d.join(F.broadcast(block), (F.col("file_") == F.col("f_")) & (F.col("start_") == F.col("s_")))
+    block = save(block, "blocks")  # a written table, so that Spark knows its size and sends it to all tasks only if it is small
+    d = d.join(block, (F.col("file_") == F.col("f_")) & (F.col("start_") == F.col("s_")))
     return d.withColumn("seq_id", F.col("row_") + F.col("shift_")).drop("row_", "shift_", "file_", "start_", "f_", "s_")
 
 
