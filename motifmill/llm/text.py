@@ -122,3 +122,17 @@ def shingles(offsets: np.ndarray, h: np.ndarray, k: int) -> tuple[np.ndarray, np
         word = h[np.minimum(first + j, last)]
         acc = acc * U64(0x2545F4914F6CDD1D) + np.where(left > j, word, U64(0))
     return out, mix(acc), first
+
+
+def runs(offsets: np.ndarray, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `shingles`, of rows of at least k words alone, and by other hashes: differences of sums, whose cost doesn't rise with k."""
+    lens = np.diff(offsets)
+    count = np.maximum(lens - k + 1, 0)
+    out = np.zeros(len(offsets), np.int64)
+    np.cumsum(count, out=out[1:])
+    if not out[-1]:
+        return out, np.zeros(0, U64), np.zeros(0, np.int64)
+    first = np.repeat(offsets[:-1] - out[:-1], count) + np.arange(out[-1])
+    sums = np.zeros(len(h) + 1, U64)
+    np.cumsum(h * _power(_BASE, len(h)), out=sums[1:])
+    return out, mix((sums[first + k] - sums[first]) * _power(_INVERSE, len(h))[first] + U64(k)), first

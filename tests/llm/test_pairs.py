@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from motifmill.llm import bm25, chaining, chosenpath, shared
+from motifmill.llm import bm25, chaining, chosenpath, shared, text
 from tests.llm.fixtures import documents, frame, grams, prose, words
 
 
@@ -333,3 +333,19 @@ def test_every_shared_run_of_51_words_is_linked(spark):
             assert x.n_equal >= 30 and x.identity >= 0.8 and x.other_id < x.doc_id and a[0] == b[0] and a[-1] == b[-1]
             if a == b:
                 assert x.n_equal == len(a) and short[x.doc_id] & short[x.other_id]
+
+
+def test_minimizers_are_the_first_least_of_each_window():
+    r = np.random.default_rng(4)
+    for n, w in ((1, 1), (8, 8), (50, 7), (300, 22), (300, 8)):
+        s = r.integers(0, 12, n).astype(np.uint64)
+        assert (chaining.first_minima(s, w) == np.lib.stride_tricks.sliding_window_view(s, w).argmin(1) + np.arange(n - w + 1)).all()
+    h = r.integers(0, 5, 400).astype(np.uint64)
+    offsets = np.array([0, 10, 40, 41, 200, 400])
+    at, runs, first = text.runs(offsets, h, 30)
+    want = [(row, i, h[i : i + 30].tobytes()) for row, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])) for i in range(a, b - 29)]
+    assert first.tolist() == [i for _, i, _ in want] and np.diff(at).tolist() == [sum(row == k for row, _, _ in want) for k in range(5)]
+    same = {}
+    for x, (_, _, run) in zip(runs.tolist(), want):
+        assert same.setdefault(run, x) == x
+    assert len(set(same.values())) == len(same)
