@@ -95,6 +95,13 @@ def ic(pattern: Column) -> Column:
     return F.aggregate(positions(pattern), F.lit(0.0), lambda s, c: s + F.log10(F.lit(float(ALPHABET)) / F.length(c)))
 
 
+def string_ic(text: Column) -> Column:
+    """The information content of one column of letters, given as a string: the sum of f log10(4 f) over its different letters; 0 without letters."""
+    letters = F.filter(F.split(text, ""), lambda c: c != "")
+    share = lambda c: F.size(F.filter(letters, lambda x: x == c)) / F.size(letters)
+    return F.aggregate(F.array_distinct(letters), F.lit(0.0), lambda s, c: s + share(c) * F.log10(share(c) * F.lit(float(ALPHABET))))
+
+
 def similar(a: Column, b: Column, k: int) -> Column:
     """Whether two k-mers have at least k - 3 equal 2-mers at equal places."""
     same = F.zip_with(kmers(a, 2), kmers(b, 2), lambda x, y: x == y)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from motifmill.functions import patterns as P
 from motifmill.operators import align, compare, degenerate, graphs, kmers, report, search
 from motifmill.plans import catalog as c
+from motifmill.plans import reports
 from motifmill.plans.catalog import query
 from motifmill.session import save
 from motifmill.sources import fasta
@@ -156,3 +157,26 @@ def titled_sides(spark, d):
     named = compare.by_title(c.index(spark, d).withColumnRenamed("kmer", "title"), 1)
     one = named.groupBy("species").agg(F.count("*").alias("n"), F.countDistinct("seq_id").alias("seqs"))
     return compare.one_against_rest(one, "species", "A")
+
+
+@query(f"""{reports._ALIGNED.replace(c._PPM, reports._TWO)}, z AS (SELECT p1, p2, round(similarity, 9) AS s FROM simi), e AS (SELECT min(s) AS low, max(s) AS high FROM z),
+nz AS (SELECT p1, p2, CASE WHEN s = low THEN 0.0001 WHEN s = high THEN 0.9999 ELSE (s - low) / (high - low) END AS s FROM z, e)
+SELECT CASE WHEN right(p1, 3) = right(p2, 3) THEN 'in' ELSE 'trans' END AS kind, count(*) AS n, round(avg(s), 5) AS mean FROM nz GROUP BY ALL""")
+def cross_dataset_aligned(spark, d):
+    """Matrices of the same patterns in two data sets at their best offsets, their similarities scaled to 0 to 1."""
+    pats = c.patterns(spark, d)
+    named = lambda t, side: t.withColumn("pattern", F.concat("pattern", F.lit(f"_{side}")))
+    both = save(named(degenerate.ppm(pats, c.positives(spark, d)), "pos").unionByName(named(degenerate.ppm(pats, c.negatives(spark, d)), "neg")), "ppm")
+    sims, best = reports._aligned(degenerate.offset_similarities(both))
+    lengths = both.groupBy("pattern").agg(F.max("pos").alias("n"))
+    aligned = report.aligned_similarity(sims, best, lengths).withColumn("similarity", F.round("similarity", 9))
+    side = both.select("pattern").distinct().withColumn("side", F.right("pattern", F.lit(3)))
+    return report.across(degenerate.normalized(aligned, "similarity"), side).withColumn("mean", F.round("mean", 5))
+
+
+@query("""WITH s AS (SELECT n_nationkey, upper(regexp_replace(n_name, '[^A-Za-z]', '', 'g')) AS s FROM nation), l AS (SELECT n_nationkey, len(s) AS m, unnest(regexp_extract_all(s, '.')) AS c FROM s),
+f AS (SELECT n_nationkey, c, count(*) / min(m) AS f FROM l GROUP BY ALL) SELECT n_nationkey, round(sum(f * log10(4 * f)), 6) AS ic FROM f GROUP BY n_nationkey""")
+def string_ic(spark, d):
+    """The information content of each nation's letters, as if they were one column."""
+    letters = F.upper(F.regexp_replace("n_name", "[^A-Za-z]", ""))
+    return c.table(spark, d, "nation").select("n_nationkey", F.round(P.string_ic(letters), 6).alias("ic"))

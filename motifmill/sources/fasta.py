@@ -67,7 +67,7 @@ def ppm(spark: SparkSession, path: str) -> DataFrame:
     """Position matrices of a folder of PPM-<pattern>.txt files, long: pattern, pos, chr, w."""
     d = spark.read.option("sep", "\t").option("header", True).csv(path)
     letters = [c for c in d.columns if c != "PO"]
-    d = d.withColumn("pattern", F.regexp_extract(F.col("_metadata.file_name"), r"PPM-(.*)\.txt$", 1))
+    d = d.withColumn("pattern", F.url_decode(F.regexp_extract(F.col("_metadata.file_name"), r"PPM-(.*)\.txt$", 1)))  # brackets are escaped in it
     return d.unpivot(["pattern", "PO"], letters, "chr", "w").select("pattern", F.col("PO").cast("int").alias("pos"), "chr", F.col("w").cast("double").alias("w"))
 
 

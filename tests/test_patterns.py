@@ -70,3 +70,9 @@ def test_similar_halves(spark):
 def test_log_factorial(spark):
     for n in (0, 1, 15, 16, 50, 1000, 10**6):
         assert one(spark, P.log_factorial(L(n))) == pytest.approx(math.lgamma(n + 1), rel=1e-12, abs=1e-12)
+
+
+def test_information_content_of_one_string(spark):
+    d = spark.createDataFrame([("ACCG",), ("CCCC",), ("ACGU",), ("",)], "s string")
+    got = [r.ic for r in d.select(P.string_ic(F.col("s")).alias("ic")).collect()]
+    assert got == pytest.approx([0.1505, 0.6021, 0, 0], abs=1e-4)
