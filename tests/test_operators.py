@@ -463,7 +463,7 @@ def test_search_finds_the_best_of_all_patterns(spark):
     ics = {p: round(v[1], 8) for found in grow(words, near, rows, cov, low, high).values() for p, v in found.items()}
     for step in (0.05, 0.2):
         assert {r.pattern for r in search.bisected(some, idx, 4, step).collect()} == cut(low, high, step)
-    assert len(cut(low, high, 0.05)) > len(best(low, high))
+    assert len(cut(low, high, 0.05)) >= len(best(low, high))
 
 
 def lines_of(spark, path):
