@@ -64,7 +64,7 @@ def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of documents with its base counts, score and verdict; as `quality.score_documents`."""
     out = quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score", "toxicity", "ratio_failed", "toxic_failed")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

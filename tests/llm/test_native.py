@@ -95,28 +95,50 @@ def test_quality_against_brute_force(spark):
     def features(w):
         return [signed(hashed(x)) % bins for x in w] + [signed(hashed(y, hashed(x))) % bins for x, y in zip(w, w[1:])]
 
-    trusted = {i for i in range(12)} - {3}
+    def percentile(values, share):
+        values = sorted(values)
+        at = share * (len(values) - 1)
+        i = int(at)
+        return values[i] + (at - i) * (values[min(i + 1, len(values) - 1)] - values[i])
+
+    out_of_target = {i for i in range(12) if signed(hashed("held", xxhash.xxh64(i.to_bytes(8, "little"), seed=42).intdigest())) % 5 == 0} - {3}
+    trusted = set(range(12)) - {3} - out_of_target
     raw, good = Counter(), Counter()
+    holders = {True: Counter(), False: Counter()}
+    size, learnt = {True: 0, False: 0}, 0
+    single = lambda w: {signed(hashed(x)) % bins for x in w}
     for r in rows:
         f = features(words(r[1]))
         raw.update(f)
         if r[0] in trusted:
             good.update(f)
+            learnt += 1
+        if r[0] in trusted or r[0] == 13:
+            holders[r[0] == 13].update(single(words(r[1])))
+            size[r[0] == 13] += 1
     n, t = sum(raw.values()), sum(good.values())
     p = lambda b: (raw[b] + 1) / (n + bins)
-    weight = [math.log((good[b] + bins * p(b)) / (t + bins)) - math.log(p(b)) for b in range(bins)]
+    prior = quality.PRIOR + bins * 5 / (5 + learnt)
+    weight = [math.log((good[b] + prior * p(b)) / (t + prior)) - math.log(p(b)) for b in range(bins)]
+    share = lambda b, x: (holders[x][b] + 5 * (size[x] + 0.5) / (sum(size.values()) + 1)) / (size[x] + 0.5)
+    toxic = lambda w: (lambda top: sum(top) / max(len(top), 1))(sorted((math.log(share(b, True) / share(b, False)) for b in single(w)), reverse=True)[:2])
+    mean = lambda w: sum(weight[b] for b in features(w)) / len(features(w)) if w else 0.0
+    clean = [words(r[1]) for r in rows if r[0] in out_of_target and len(words(r[1])) >= 50]
+    assert clean and learnt
+    least = (len(clean) * percentile([mean(w) for w in clean], quality.REJECTED_SCORE) + 5 * quality.LEAST_SCORE) / (len(clean) + 5)
+    most = max(0, (len(clean) * percentile([toxic(w) for w in clean], 1 - quality.REJECTED_TOXIC) + 5 * quality.MOST_TOXIC) / (len(clean) + 5))
     want = []
     for r in rows:
         w = words(r[1])
-        f = features(w)
-        score = sum(weight[b] for b in f) / len(f) if f else 0.0
+        score, bad = mean(w), toxic(w)
         lines = [x for x in (r[1] or "").split("\n") if words(x)]
         base = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", r[1] or "")), len(lines) - len(set(lines)), repeated(w))
         failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
-        want.append((str(r[0]), *base, failed, not failed and score >= quality.LEAST_SCORE, round(score, 9)))
+        verdicts = (score < least, bad > most, not failed and score >= least and bad <= most)
+        want.append((str(r[0]), *base, failed, *verdicts, round(score, 9), round(bad, 9)))
     got = quality.score_documents(frame(spark).drop("score", "kept", "bins_"), labels(spark, LABELS), bins).collect()
-    cols = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    assert sorted((str(r.doc_id), *[r[c] for c in cols], round(r.score, 9)) for r in got) == sorted(want)
+    cols = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio_failed", "toxic_failed", "kept")
+    assert sorted((str(r.doc_id), *[r[c] for c in cols], round(r.score, 9), round(r.toxicity, 9)) for r in got) == sorted(want)
     assert quality.score_documents(frame(spark, []), labels(spark, LABELS), bins).count() == 0
     assert {r.score for r in quality.score_documents(frame(spark), labels(spark, []), bins).collect()} == {0.0}
 
@@ -137,7 +159,12 @@ def test_labels_set_the_limits(spark):
         rows.append((i, " ".join(w), "en", "s", 0, 1.0, 7, "r", 3, "p", True))
         if i >= 140:
             labelled.append((i, int(kind[i] != "bad"), int(kind[i] == "toxic")))
-    got = {x.doc_id: x.kept for x in quality.score_documents(frame(spark, rows).drop("score", "kept", "bins_"), labels(spark, labelled)).collect()}
+    rows_ = {x.doc_id: x for x in quality.score_documents(frame(spark, rows).drop("score", "kept", "bins_"), labels(spark, labelled)).collect()}
+    # what each limit rejects by itself
+    rejected = {(f, k): sum(rows_[i][f] for i in range(140) if kind[i] == k) / sum(kind[i] == k for i in range(140)) for f in ("ratio_failed", "toxic_failed") for k in ("good", "bad", "toxic")}
+    assert rejected["ratio_failed", "bad"] == 1 and rejected["ratio_failed", "good"] <= 0.05
+    assert rejected["toxic_failed", "toxic"] == 1 and rejected["toxic_failed", "good"] <= 0.1
+    got = {i: x.kept for i, x in rows_.items()}
     share = {k: sum(got[i] for i in range(140) if kind[i] == k) / sum(kind[i] == k for i in range(140)) for k in ("good", "bad", "toxic")}
     assert share["bad"] == 0 and share["toxic"] == 0 and share["good"] >= 0.9
 
