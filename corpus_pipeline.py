@@ -20,10 +20,10 @@ def _whole(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the n-gram likelihood ratio reject go.
+    """Documents that the base rules, the n-gram likelihood ratio or the limit on toxic words reject go.
 
     Null and empty texts fail the base rules. Repeated rows and rows without doc_id are judged by their text
-    alike. With few labels, or none, fixed limits hold (`quality.score_documents`).
+    alike. The fewer labels there are, the nearer the limits are to fixed ones (`quality.score_documents`).
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.score_documents(_whole(docs), labels, keep=("row_",)).where("kept").select("row_.*")
