@@ -125,8 +125,9 @@ def test_quality_against_brute_force(spark):
     mean = lambda w: sum(weight[b] for b in features(w)) / len(features(w)) if w else 0.0
     clean = [words(r[1]) for r in rows if r[0] in out_of_target and len(words(r[1])) >= 50]
     assert clean and learnt
-    least = (len(clean) * percentile([mean(w) for w in clean], quality.REJECTED_SCORE) + 5 * quality.LEAST_SCORE) / (len(clean) + 5)
-    most = max(0, (len(clean) * percentile([toxic(w) for w in clean], 1 - quality.REJECTED_TOXIC) + 5 * quality.MOST_TOXIC) / (len(clean) + 5))
+    low, high = percentile([mean(w) for w in clean], quality.REJECTED_SCORE), percentile([toxic(w) for w in clean], 1 - quality.REJECTED_TOXIC)
+    least = min(low, (len(clean) * low + 5 * quality.LEAST_SCORE) / (len(clean) + 5))
+    most = max(0, high, (len(clean) * high + 5 * quality.MOST_TOXIC) / (len(clean) + 5))
     want = []
     for r in rows:
         w = words(r[1])
