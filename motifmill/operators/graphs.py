@@ -120,10 +120,11 @@ def orphans(layer: DataFrame, parents: DataFrame, k: int) -> DataFrame:
 
 def jaccard(kmers: DataFrame) -> DataFrame:
     """Coverage similarity |A & B| / |A | B| of pairs a > b of words that share a sequence; kmers is (kmer, seq_id) of a bounded list of words."""
-    s = kmers.select("kmer", "seq_id").distinct()
-    size = s.groupBy("kmer").agg(F.count("*").alias("n"))
-    a = s.select(F.col("kmer").alias("a"), "seq_id")
-    b = s.select(F.col("kmer").alias("b"), "seq_id")
-    both = a.join(b, "seq_id").where("a > b").groupBy("a", "b").agg(F.count("*").alias("common"))
+    held = kmers.groupBy("seq_id").agg(F.array_sort(F.collect_set("kmer")).alias("words"))
+    # pairs are made inside a sequence's row, so no table of sequences is joined; a word with itself tells its size
+    pairs = held.select("words", F.posexplode("words").alias("i", "a")).select("a", F.explode(F.slice("words", F.lit(1), F.col("i") + 1)).alias("b"))
+    counts = save(pairs.groupBy("a", "b").agg(F.count("*").alias("common")), "common")
+    size = counts.where("a = b").select(F.col("a").alias("kmer"), F.col("common").alias("n"))
+    both = counts.where("a > b")
     d = both.join(size.select(F.col("kmer").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("kmer").alias("b"), F.col("n").alias("nb")), "b")
     return d.select("a", "b", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("similarity"))
