@@ -51,14 +51,14 @@ SELECT g.kmer, c.cov, coalesce(n_ancestors, 0) AS n_ancestors, coalesce(roots, g
 FROM good g JOIN cov c USING (k, kmer) LEFT JOIN up USING (kmer) LEFT JOIN down USING (kmer) LEFT JOIN below USING (kmer)""")
 def kmer_ancestry(spark, d):
     """Ancestors, roots and what descendants cover, of the k-mers of over average coverage of all lengths."""
-    index = save(c.index(spark, d, c.KS), "index")
-    cov = save(kmers.coverage(index), "cov")
+    index = c.index(spark, d, c.KS)
+    cov = save(c.cov(spark, d, c.KS), "cov")
     good = save(cov.join(F.broadcast(cov.groupBy("k").agg(F.avg("cov").alias("t"))), "k").where("cov > t").select("k", "kmer", "cov"), "good")
     links = None
     for k in c.KS[1:]:
         t = graphs.tree(good.where(F.col("k") == k), good.where(F.col("k") == k - 1), k).where(~F.col("parent").contains("_")).select("child", "parent")
         links = t if links is None else links.union(t)
-    held = index.join(good.select("kmer"), "kmer", "left_semi").select("kmer", "seq_id").distinct()
+    held = index.join(kmers.sent(good.select("kmer")), "kmer", "left_semi").select("kmer", "seq_id").distinct()
     return graphs.lineage(save(links, "links"), good, held)
 
 
@@ -104,8 +104,8 @@ def align_pvalue(spark, d):
 @query()
 def pattern_bisected(spark, d):
     """Patterns of ever narrower windows, grown from k-mers a standard deviation over the mean coverage."""
-    i = save(c.index(spark, d), "index")
-    cov = save(kmers.coverage(i), "cov")
+    i = c.index(spark, d)
+    cov = save(c.cov(spark, d), "cov")
     least = cov.agg((F.avg("cov") + F.stddev_samp("cov")).alias("least"))
     return search.bisected(cov.join(F.broadcast(least), F.col("cov") > F.col("least")), i, c.K)
 

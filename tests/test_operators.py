@@ -564,3 +564,50 @@ def test_merged_tops_by_hand(spark, seqs):
         want |= {(i, text(p), cov[p]) for p in state}
     idx = kmers.index(seqs, [3])
     assert {tuple(r) for r in search.merged_tops(kmers.coverage(idx), idx, n).select("merge_cnt", "pattern", "cov").collect()} == want
+
+
+def test_sequences_are_never_sent_whole(spark, seqs, tmp_path):
+    """Joins of occurrences are merged, however small the file of keys that they are made from is, and a word's sequences are not joined at all."""
+    seqs.write.parquet(str(tmp_path / "s"))
+    stored = spark.read.parquet(str(tmp_path / "s"))
+    two = kmers.index(stored, [2])
+
+    def plan(d):
+        return d._jdf.queryExecution().executedPlan().toString()
+
+    assert "Broadcast" not in plan(kmers.extend(two, two, 1))
+    d = graphs.jaccard(two.select("kmer", "seq_id"))
+    held = {}
+    for i, s in sequences():
+        for p in range(len(s) - 1):
+            held.setdefault(s[p : p + 2], set()).add(i)
+    want = {(a, b): len(held[a] & held[b]) / len(held[a] | held[b]) for a in held for b in held if a > b and held[a] & held[b]}
+    assert {(r.a, r.b): r.similarity for r in d.collect()} == pytest.approx(want)
+    assert "Generate" not in plan(d)  # pairs are counted before anything is joined
+
+
+def test_longer_runs_are_joined_without_sending_sequences(spark, seqs, tmp_path):
+    seqs.write.parquet(str(tmp_path / "s"))
+    d = kmers.frequent_paths(spark.read.parquet(str(tmp_path / "s")), 6, 2)
+    assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_coverage_is_0_where_no_word_stands_out(spark, tmp_path):
+    from motifmill.plans import catalog
+
+    spark.createDataFrame([], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    assert [r.cov for r in catalog.QUERIES["coverage_bitmap"](spark, str(tmp_path)).collect()] == [0]
+
+
+def test_kmers_are_made_in_tasks_of_bounded_size(spark, seqs, monkeypatch):
+    monkeypatch.setattr(kmers, "TASK_SEQS", 2)
+    one = seqs.unionByName(seqs.limit(3)).coalesce(1)
+    idx = kmers.index(one, [3], "ACGU")
+    assert idx.rdd.getNumPartitions() >= 21  # 43 rows
+    # what is counted per sequence isn't moved, and counting in the rows gives the same
+    want = {tuple(r) for r in kmers.coverage(idx).collect()}
+    assert {tuple(r) for r in kmers.counted(one, [3], "ACGU").collect()} == want and want
+    p = spark.createDataFrame([("A[CG]U",), ("GGA",)], "pattern string")
+    text = dict(sequences())
+    got = {(r.pattern, r.seq_id) for r in degenerate.held(p, idx).collect()}
+    assert got == {(x, i) for x in ("A[CG]U", "GGA") for i, s in text.items() if re.search(x, s)}
