@@ -18,8 +18,6 @@ from motifmill.llm.shared import save
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]+"
 BINS = 1 << 16
-#: At most so many labelled documents, those of the least hash, make up the trusted target.
-TRUSTED_DOCS = 20_000
 #: Limits that those from labels are drawn towards: the least mean log-likelihood ratio, the highest toxicity.
 LEAST_SCORE, MOST_TOXIC = -0.25, 3.0
 #: Of the trusted documents, one of HELD_SHARE by hash is held out of the target for the limits.
@@ -80,16 +78,15 @@ def features(words: Column, bins: int = BINS) -> Column:
     return F.concat(single, pairs)
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED_DOCS) -> DataFrame:
-    """Ids of documents labelled good and not toxic in all their labels; the `most` of the least hash."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all documents labelled good and not toxic in all their labels."""
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("x"))
-    return good.where("q = 1 and x = 0").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return good.where("q = 1 and x = 0").select("doc_id")
 
 
-def toxic_ids(labels: DataFrame, most: int = TRUSTED_DOCS) -> DataFrame:
-    """Ids of documents labelled toxic in any of their labels; the `most` of the least hash."""
-    toxic = labels.where("doc_id is not null and toxic = 1").select("doc_id").distinct()
-    return toxic.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def toxic_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all documents labelled toxic in any of their labels."""
+    return labels.where("doc_id is not null and toxic = 1").select("doc_id").distinct()
 
 
 def word_bins(words: Column, bins: int = BINS) -> Column:
@@ -130,11 +127,11 @@ def bin_weights(docs: DataFrame, trusted: DataFrame, bins: int = BINS, prior_cou
 
     The target is smoothed towards the raw distribution with prior_counts. The raw counts are those of every n-gram
     of every document, null texts have none, repeated rows count each. Without trusted documents, or without rows, all weights are 0.
-    trusted has at most TRUSTED_DOCS rows and is broadcast.
+    trusted may have any number of rows; Spark sends it to all tasks if it is small.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     marked = trusted.select(F.col("doc_id").alias("trusted_id"))
-    d = docs.select("doc_id", split_words(text).alias("words")).join(F.broadcast(marked), F.col("doc_id") == F.col("trusted_id"), "left")
+    d = docs.select("doc_id", split_words(text).alias("words")).join(marked, F.col("doc_id") == F.col("trusted_id"), "left")
     d = d.select(F.col("trusted_id").isNotNull().cast("long").alias("good"), features(F.col("words"), bins).alias("bins"))
     counts = d.select("good", F.explode_outer("bins").alias("bin")).where("bin is not null").groupBy("bin").agg(F.count("*").alias("raw"), F.sum("good").alias("target"))
     all_bins = docs.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
@@ -163,12 +160,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, bins: int = BINS, least_
     scored like any other. Repeated rows: each.
     """
     held = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(HELD_SHARE)) == 0
-    trusted = trusted_ids(labels)
-    roles = trusted.select("doc_id", F.when(held, "held").otherwise("target").alias("role")).union(toxic_ids(labels).select("doc_id", F.lit("toxic").alias("role")))
-    some = save(docs.select("doc_id", "text").join(F.broadcast(roles), "doc_id"), "labelled")  # of 2 * TRUSTED_DOCS ids at most
+    roles = trusted_ids(labels).select("doc_id", F.when(held, "held").otherwise("target").alias("role")).union(toxic_ids(labels).select("doc_id", F.lit("toxic").alias("role")))
+    roles = save(roles, "roles")  # a written table, so that Spark knows its size and sends it to all tasks only if it is small
+    some = save(docs.select("doc_id", "text").join(roles, "doc_id"), "labelled")
     learnt = some.where("role = 'target'").count()
     prior = PRIOR + bins * PRIOR_DOCS / (PRIOR_DOCS + learnt)
-    weights = save(bin_weights(docs, trusted.where(~held), bins, prior), "weights").scalar()
+    weights = save(bin_weights(docs, roles.where("role = 'target'"), bins, prior), "weights").scalar()
     toxic_weight = save(toxic_weights(some, bins), "toxic").scalar()
     if least_score is None or most_toxic is None:
         clean = some.where("role = 'held'").select(split_words(F.coalesce(F.col("text"), F.lit(""))).alias("words")).where(F.size("words") >= least_words)

@@ -263,3 +263,8 @@ def test_conversations_against_sql(spark, tmp_path):
     d, con = folder(spark, tmp_path, conversations=spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
     out = queries.op6_tool_call_links(spark, d)
     assert same(out.collect(), out.columns, con.sql(sql.ORACLES["op6_tool_call_links"]))
+
+
+def test_all_labelled_documents_are_learnt_from(spark):
+    labels = spark.range(50_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), (F.col("id") % 2).cast("int").alias("toxic"))
+    assert quality.trusted_ids(labels).count() == quality.toxic_ids(labels).count() == 25_000
