@@ -105,15 +105,64 @@ def exact_p(cov: Column, drawn: Column, with_word: Column, size: Column) -> Colu
 
 
 def fisher(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Two-sided p of the table ((a, b), (c, d)): the sum of all tables' probabilities that don't exceed this one's, without those of terms as in `exact_p`."""
-    row, col, n = a + b, a + c, a + b + c + d
-    log_p = lambda x: P.log_choose(row, x) + P.log_choose(n - row, col - x) - P.log_choose(n, col)
-    mean, far = _spread(row, col, n)
-    low = F.greatest(F.lit(0).cast("long"), col - (n - row), F.least(a, mean) - far)
-    high = F.least(row, col, F.greatest(a, mean) + far)
-    here = F.exp(log_p(a)) * (1 + 1e-7)
-    terms = F.filter(F.transform(F.sequence(low, high), lambda x: F.exp(log_p(x))), lambda p: p <= here)
-    return F.least(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), F.lit(1.0))
+    """Two-sided p of the table ((a, b), (c, d)): the sum of all tables' probabilities that don't exceed this one's.
+
+    Probabilities fall on both sides of the most probable table, so the tables between this one and the first on the other side that
+    doesn't exceed it aren't looked at; that one is found by bisection. From both, 12 standard deviations (and 40) outwards are
+    summed by the ratios of neighbours. So the terms have the order of the square root of the number of sequences, however far
+    this table lies from the mean.
+    """
+    table = F.struct(a.cast("long").alias("a"), (a + b).cast("long").alias("row"), (a + c).cast("long").alias("col"), (a + b + c + d).cast("long").alias("n"))
+    return _once(table, _two_sided)
+
+
+def _once(value: Column, use) -> Column:
+    """use(value), with the value evaluated once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _two_sided(t: Column) -> Column:
+    a, row, col, n = t["a"], t["row"], t["col"], t["n"]
+    least, most = F.greatest(F.lit(0).cast("long"), col - (n - row)), F.least(row, col)
+    mode = F.least(F.greatest(F.floor((row + 1) * (col + 1).cast("double") / (n + 2)), least), most)
+    known = F.struct(*[t[x].alias(x) for x in ("a", "row", "col", "n")], least.alias("least"), most.alias("most"), mode.alias("mode"), _spread(row, col, n)[1].alias("far"), P.log_choose(n, col).alias("all"))
+    return _once(known, lambda t: _once(_log_p(t, t["a"]), lambda here: _sums(t, here)))
+
+
+def _log_p(t: Column, x: Column) -> Column:
+    return _once(x, lambda x: P.log_choose(t["row"], x) + P.log_choose(t["n"] - t["row"], t["col"] - x) - t["all"])
+
+
+def _sums(t: Column, here: Column) -> Column:
+    """The two tails of a table whose probability has the logarithm `here`: from itself outwards, and from the first place on the mode's other side that doesn't exceed it."""
+    a, mode, zero = t["a"], t["mode"], F.lit(0).cast("long")
+    up = a >= mode
+    at = lambda i: F.when(up, mode - i).otherwise(mode + i)
+    # `over` places beyond the mode the last is known to exceed, `under` places beyond it the first is known not to, or the tables end
+    first = F.struct(F.when(a == mode, zero).otherwise(zero - 1).alias("over"), (F.when(up, mode - t["least"]).otherwise(t["most"] - mode) + 1).alias("under"))
+
+    def halved(s, _):
+        half = F.floor((s["over"] + s["under"]) / 2)
+        either = lambda h: F.when(_log_p(t, at(h)) > here + 1e-7, F.struct(h.alias("over"), s["under"].alias("under"))).otherwise(F.struct(s["over"].alias("over"), h.alias("under")))
+        return F.when(s["under"] - s["over"] > 1, _once(half, either)).otherwise(s)
+
+    other = F.aggregate(F.sequence(F.lit(1), F.lit(40)), first, halved, lambda s: at(s["under"]))
+    none = lambda x: (x < t["least"]) | (x > t["most"])
+    beyond = lambda x: F.when(none(x), 0.0).otherwise(_once(_log_p(t, x), lambda log: F.when(up, _outwards(t, x, log, False)).otherwise(_outwards(t, x, log, True))))
+    own = F.when(up, _outwards(t, a, here, True)).otherwise(_outwards(t, a, here, False))
+    return F.least(own + _once(other, beyond), F.lit(1.0))
+
+
+def _outwards(t: Column, start: Column, log: Column, rising: bool) -> Column:
+    """The sum of the probabilities from start on, each from the one before by their ratio."""
+    row, col, rest = t["row"], t["col"], t["n"] - t["row"] - t["col"]
+    if rising:
+        ratio = lambda x: F.when(x < t["most"], (row - x).cast("double") * (col - x) / ((x + 1).cast("double") * (rest + x + 1))).otherwise(0.0)
+    else:
+        ratio = lambda x: F.when(x > t["least"], x.cast("double") * (rest + x) / ((row - x + 1).cast("double") * (col - x + 1))).otherwise(0.0)
+    step = lambda s, i: F.struct((s["p"] * ratio(start + i if rising else start - i)).alias("p"), (s["sum"] + s["p"]).alias("sum"))
+    begin = F.struct(F.exp(log).alias("p"), F.lit(0.0).alias("sum"))
+    return F.aggregate(F.sequence(F.lit(0).cast("long"), t["far"]), begin, step, lambda s: s["sum"])
 
 
 def bonferroni(p: Column, tests: Column) -> Column:

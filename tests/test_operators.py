@@ -611,3 +611,16 @@ def test_kmers_are_made_in_tasks_of_bounded_size(spark, seqs, monkeypatch):
     text = dict(sequences())
     got = {(r.pattern, r.seq_id) for r in degenerate.held(p, idx).collect()}
     assert got == {(x, i) for x in ("A[CG]U", "GGA") for i, s in text.items() if re.search(x, s)}
+
+
+def test_fisher_far_from_the_mean(spark):
+    """Tables whose numbers lie millions from the mean, which the terms between them took minutes for, and exact sums of small ones on both sides of the mean."""
+    tables = [(9_000_000, 16_000_000, 4_000_000, 21_000_000), (0, 0, 0, 0), (0, 5, 0, 3), (3, 0, 0, 3), (1, 9, 11, 3), (10, 10, 10, 10), (0, 1000, 500, 500), (300, 1700, 300, 100)]
+    p = background.fisher(*[F.col(x) for x in "abcd"])
+    got = {tuple(r[:4]): r.p for r in spark.createDataFrame(tables, "a long, b long, c long, d long").select("*", p.alias("p")).collect()}
+    assert got[tables[0]] == 0
+    for a, b, c, d in tables[1:]:
+        row, col, n = a + b, a + c, a + b + c + d
+        every = {x: math.comb(row, x) * math.comb(n - row, col - x) for x in range(max(0, col - (n - row)), min(row, col) + 1)}
+        exact = sum(v for v in every.values() if v <= every[a]) / math.comb(n, col)
+        assert got[a, b, c, d] == pytest.approx(exact, rel=1e-9)
