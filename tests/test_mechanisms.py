@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from motifmill.operators import align, background, compare, degenerate, draws, graphs, kmers, search, space
+from motifmill.operators import align, background, compare, degenerate, draws, graphs, kmers, report, search, space
 from motifmill.plans import flow
 from motifmill.sinks import text as sinks
 from motifmill.sources import fasta
@@ -408,3 +408,23 @@ def test_data_jobs(spark):
     assert [x.title for x in compare.clean_records(records).collect()] == ["a"]
     sides = compare.one_against_rest(compare.by_title(records, 1), "species", "b")
     assert {x.title: x.side for x in sides.collect()} == {"a": "negative", "b": "positive", "c": "negative", "d": "negative"}
+
+
+def test_aligned_pairs_of_blocks(spark):
+    """Pairs of blocks give what the joins of all offsets give, whatever the matrices' lengths."""
+
+    rng = random.Random(3)
+    rows = [(f"p{i:02}", pos, c, float(rng.choice([0, 1, 1, 5]))) for i in range(23) for pos in range(1, 2 + i % 4) for c in "ACGU"]
+    rows = [r if r[2] != "A" else (*r[:3], r[3] + 0.5) for r in rows]  # no place without weight
+    ppm = spark.createDataFrame(rows, "pattern string, pos int, chr string, w double")
+    sims = degenerate.offset_similarities(ppm)
+    lengths = ppm.groupBy("pattern").agg(F.max("pos").alias("n"))
+    want = report.aligned_similarity(sims, degenerate.best_offsets(sims).where("mean_pcc > 0.5"), lengths)
+    told = lambda d: sorted((r.p1, r.p2, r.offset, round(r.similarity, 9)) for r in d.collect())
+    assert told(degenerate.aligned_pairs(ppm, 0.5, block=5)) == told(degenerate.aligned_pairs(ppm, 0.5)) == told(want)
+
+
+def test_pool_is_dealt_to_tasks(spark):
+    """A small file of references is many tasks' work."""
+    refs = spark.range(200).coalesce(1).select(F.col("id").alias("ref_id"), F.lit("ACGUACGUACGUACGUACGUACGUACGUACGU").alias("seq"))
+    assert background.pool(refs, 18, 25).rdd.getNumPartitions() > 1
