@@ -27,6 +27,8 @@ HELD_SHARE = 5
 PRIOR, PRIOR_DOCS = 1024.0, 5
 #: Share of the trusted documents held out that each limit may reject.
 REJECTED_SCORE, REJECTED_TOXIC = 0.005, 0.01
+#: Labelled ids that are sent to all tasks at most, eight bytes each, and ids of a row of them, about.
+SENT_IDS, ROW_IDS = 1 << 24, 64
 #: The highest words that toxicity is the mean of; prior documents of a bin.
 TOXIC_WORDS, TOXIC_PRIOR = 2, 5.0
 
@@ -111,6 +113,23 @@ def toxic_weights(docs: DataFrame, bins: int = BINS) -> DataFrame:
     return rows.crossJoin(sizes).select(F.transform("rows", weight).alias("weights"))
 
 
+def with_roles(docs: DataFrame, roles: DataFrame) -> DataFrame:
+    """docs with their role of (doc_id, role), null for those without; a doc_id has one role at most.
+
+    Texts stay where they are: ids are sent to all tasks in rows of some ROW_IDS, which take a few bytes more than the numbers
+    themselves. Only of more than SENT_IDS ids, texts and ids meet by a shuffle.
+    """
+    n = roles.count()
+    if n > SENT_IDS:
+        return docs.join(roles, "doc_id", "left")
+    row = lambda i: F.pmod(F.xxhash64(i.cast("string"), F.lit("role")), F.lit(-(-n // ROW_IDS) or 1))
+    kinds = ("target", "held", "toxic")
+    ids = [F.collect_list(F.when(F.col("role") == kind, F.col("doc_id"))).alias(f"{kind}_") for kind in kinds]
+    sent = save(roles.groupBy(row(F.col("doc_id")).alias("row_")).agg(*ids), "sent")
+    role = F.coalesce(*[F.when(F.array_contains(f"{kind}_", F.col("doc_id")), kind) for kind in kinds])
+    return docs.join(F.broadcast(sent), row(F.col("doc_id")) == F.col("row_"), "left").select(*[docs[c] for c in docs.columns], role.alias("role"))
+
+
 def mean_weight(bins: str, weights: str) -> Column:
     total = F.aggregate(bins, F.lit(0.0), lambda acc, b: acc + F.element_at(weights, b + 1))
     return F.when(F.size(bins) == 0, F.lit(0.0)).otherwise(total / F.size(bins))
@@ -122,17 +141,15 @@ def toxicity(bins: str, weights: str) -> Column:
     return F.when(F.size(bins) == 0, F.lit(0.0)).otherwise(F.aggregate(top, F.lit(0.0), lambda acc, w: acc + w) / F.size(top))
 
 
-def bin_weights(docs: DataFrame, trusted: DataFrame, bins: int = BINS, prior_counts: float = PRIOR) -> DataFrame:
-    """One row, weights array<double>: log ratio of the smoothed target and raw probabilities of each bin.
+def bin_weights(docs: DataFrame, bins: int = BINS, prior_counts: float = PRIOR) -> DataFrame:
+    """One row, weights array<double>: log ratio of the smoothed target and raw probabilities of each bin. docs: text, role.
 
     The target is smoothed towards the raw distribution with prior_counts. The raw counts are those of every n-gram
-    of every document, null texts have none, repeated rows count each. Without trusted documents, or without rows, all weights are 0.
-    trusted may have any number of rows; Spark sends it to all tasks if it is small.
+    of every document, null texts have none, repeated rows count each. Without target documents, or without rows, all weights are 0.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    marked = trusted.select(F.col("doc_id").alias("trusted_id"))
-    d = docs.select("doc_id", split_words(text).alias("words")).join(marked, F.col("doc_id") == F.col("trusted_id"), "left")
-    d = d.select(F.col("trusted_id").isNotNull().cast("long").alias("good"), features(F.col("words"), bins).alias("bins"))
+    d = docs.select(F.coalesce(F.col("role") == "target", F.lit(False)).cast("long").alias("good"), split_words(text).alias("words"))
+    d = d.select("good", features(F.col("words"), bins).alias("bins"))
     counts = d.select("good", F.explode_outer("bins").alias("bin")).where("bin is not null").groupBy("bin").agg(F.count("*").alias("raw"), F.sum("good").alias("target"))
     all_bins = docs.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     counts = all_bins.join(counts, "bin", "left").select("bin", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
@@ -161,11 +178,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, bins: int = BINS, least_
     """
     held = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(HELD_SHARE)) == 0
     roles = trusted_ids(labels).select("doc_id", F.when(held, "held").otherwise("target").alias("role")).union(toxic_ids(labels).select("doc_id", F.lit("toxic").alias("role")))
-    roles = save(roles, "roles")  # a written table, so that Spark knows its size and sends it to all tasks only if it is small
-    some = save(docs.select("doc_id", "text").join(roles, "doc_id"), "labelled")
+    marked = with_roles(docs.select("doc_id", "text"), save(roles, "roles"))
+    some = save(marked.where("role is not null"), "labelled")
     learnt = some.where("role = 'target'").count()
     prior = PRIOR + bins * PRIOR_DOCS / (PRIOR_DOCS + learnt)
-    weights = save(bin_weights(docs, roles.where("role = 'target'"), bins, prior), "weights").scalar()
+    weights = save(bin_weights(marked, bins, prior), "weights").scalar()
     toxic_weight = save(toxic_weights(some, bins), "toxic").scalar()
     if least_score is None or most_toxic is None:
         clean = some.where("role = 'held'").select(split_words(F.coalesce(F.col("text"), F.lit(""))).alias("words")).where(F.size("words") >= least_words)

@@ -268,3 +268,20 @@ def test_conversations_against_sql(spark, tmp_path):
 def test_all_labelled_documents_are_learnt_from(spark):
     labels = spark.range(50_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), (F.col("id") % 2).cast("int").alias("toxic"))
     assert quality.trusted_ids(labels).count() == quality.toxic_ids(labels).count() == 25_000
+
+
+def test_texts_are_not_shuffled_for_their_roles(spark, monkeypatch):
+    """Many labelled ids are sent as rows of ids, whatever Spark's threshold; of more than the bound the shuffle gives the same roles."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        docs = spark.createDataFrame([(i, "a b") for i in [*range(-300, 5000), 7, 7, 1 << 60, None]], "doc_id long, text string")
+        roles = spark.range(-200, 4000).select(F.col("id").alias("doc_id"), F.element_at(F.array(*map(F.lit, ("target", "held", "toxic"))), (F.pmod("id", F.lit(3)) + 1).cast("int")).alias("role")).where("doc_id % 7 <> 5")
+        told = lambda: sorted(map(str, quality.with_roles(docs, roles).select("doc_id", "role", "text").collect()))
+        plan = quality.with_roles(docs, roles)._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        got = told()
+        monkeypatch.setattr(quality, "SENT_IDS", 0)
+        assert got == told() and len(got) == docs.count()
+        assert quality.with_roles(docs, roles.limit(0)).where("role is not null").isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
