@@ -136,9 +136,13 @@ def _loads(batches):
 
 
 class Layout:
-    """Parts of the context words: neighbouring bins fill a part; a frequent word has parts of its own."""
+    """Parts of the context words: neighbouring bins fill a part; a frequent word has parts of its own.
 
-    def __init__(self, loads: np.ndarray, words: np.ndarray, counts: np.ndarray, parts: int):
+    known: words that all blocks and parts know by their places here, sorted.
+    """
+
+    def __init__(self, loads: np.ndarray, words: np.ndarray, counts: np.ndarray, parts: int, known: np.ndarray | None = None):
+        self.known = np.zeros(0, U64) if known is None else np.unique(known)
         room = max(int(loads.sum()) / parts, 1.0)
         often = counts > room / 4
         order = np.argsort(words[often])
@@ -226,6 +230,16 @@ def _blocks(sent, block_tokens: int):
     return run
 
 
+def _named(words: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes as steps of the places of the known ones and steps of the others."""
+    here = np.isin(words, known, assume_unique=True)
+    return np.diff(np.searchsorted(known, words[here]), prepend=0).astype("<u4"), _steps(words[~here])
+
+
+def _hashes(places: np.ndarray, others: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return np.sort(np.concatenate([known[np.cumsum(places, dtype=np.int64)], np.cumsum(others)]))
+
+
 def request(w: np.ndarray, size: np.ndarray, train: np.ndarray, layout: Layout) -> tuple[list[tuple[int, bytes]], np.ndarray]:
     """Distinct runs of three words by part, and each token's place among all of them in the order of parts.
 
@@ -246,28 +260,29 @@ def request(w: np.ndarray, size: np.ndarray, train: np.ndarray, layout: Layout)
     part = layout.part(words[u1], words[u2])
     order = np.argsort(part, kind="stable")
     cut = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1]))
+    known2 = np.unique(layout.known >> U64(28))
     out = []
     for s in np.split(order, cut[1:]):
         used, local = np.unique(np.concatenate([u1[s], u0[s]]), return_inverse=True)
-        used2, local2 = np.unique(u2[s], return_inverse=True)
+        used2, local2 = np.unique(words[u2[s]] >> U64(28), return_inverse=True)
         l1, l0 = np.split(local.astype("<u4"), 2)
         changed = np.append(True, l1[1:] != l1[:-1])
         step2 = np.where(changed, local2, np.diff(local2, prepend=0)).astype("<u4")  # rising after each new context word
-        out.append((int(part[s[0]]), _dump(_steps(words[used]), _steps(words[used2] >> U64(28)), np.diff(l1, prepend=np.uint32(0)), step2, l0, n[s])))
+        out.append((int(part[s[0]]), _dump(*_named(words[used], layout.known), *_named(used2, known2), np.diff(l1, prepend=np.uint32(0)), step2, l0, n[s])))
     rank = np.empty(len(order), "<u4")
     rank[order] = np.arange(len(order))
     return out, rank[place]
 
 
-def _requested(blob: bytes) -> tuple[np.ndarray, ...]:
+def _requested(blob: bytes, known: np.ndarray, known2: np.ndarray) -> tuple[np.ndarray, ...]:
     """A request's words, its words two before (36 bits), the places of each run's three words in them, and its count."""
-    words, words2, step1, step2, l0, n = _load(blob)
+    places, others, places2, others2, step1, step2, l0, n = _load(blob)
     l1 = np.cumsum(step1, dtype=np.int64)
     # sums of the steps since the last new context word
     new = np.flatnonzero(np.append(True, step1[1:] != 0))
     sums = np.cumsum(step2, dtype=np.int64)
     l2 = sums - np.repeat(sums[new] - step2[new], np.diff(np.append(new, len(step2))))
-    return np.cumsum(words), np.cumsum(words2), l1, l2, l0, n
+    return _hashes(places, others, known), _hashes(places2, others2, known2), l1, l2, l0, n
 
 
 class Part:
@@ -282,7 +297,8 @@ class Part:
     @classmethod
     def build(cls, requests: list[bytes], layout: Layout):
         """The part, each request's places among its types, and what the roots are told of its words: (word, frequent context or 0, tokens)."""
-        loaded = [_requested(b) for b in requests]
+        known2 = np.unique(layout.known >> U64(28))
+        loaded = [_requested(b, layout.known, known2) for b in requests]
         words, words2 = (np.unique(np.concatenate([x[i] for x in loaded])) for i in (0, 1))
         keys, n = [[], [], []], []
         for used, used2, l1, l2, l0, k in loaded:
@@ -653,8 +669,9 @@ def score(docs: DataFrame, sweeps: int = SWEEPS, samples: int = SAMPLES, strengt
         return spark.createDataFrame([], schema)
     parts = max(1, -(-total // part_tokens))
     often = counted.where(F.col("word") & (F.col("n") > total / parts / 4)).collect()  # 4 * parts rows at most
-    layout = Layout(loads, np.array([r.key for r in often], np.int64).view(U64), np.array([r.n for r in often], np.int64), parts)
-    sent = spark.sparkContext.broadcast(layout)  # of 2**BIN_BITS + 12 * parts numbers at most
+    known = counted.where(F.col("word") & (F.col("n") * FREQUENT > total)).select("key").collect()  # FREQUENT rows at most
+    layout = Layout(loads, np.array([r.key for r in often], np.int64).view(U64), np.array([r.n for r in often], np.int64), parts, np.array([r.key for r in known], np.int64).view(U64))
+    sent = spark.sparkContext.broadcast(layout)  # of 2**BIN_BITS + FREQUENT + 12 * parts numbers at most
     roots = max(1, parts // 2)
     cut = in_arrow(d_, _blocks(sent, block_tokens), SENT).repartitionById(layout.parts, F.col("to")).sortWithinPartitions("to", "frm")
     built = save_and_free(in_arrow(cut, _build(sent, roots), BUILT), "parts", "kind")

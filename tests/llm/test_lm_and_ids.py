@@ -186,6 +186,23 @@ def test_no_rows(spark):
     assert hpylm.score(frame(spark, [])).count() == 0
 
 
+def test_frequent_words_are_sent_by_their_places():
+    rng = np.random.default_rng(5)
+    w = text.mix(rng.zipf(1.3, 20_000).astype(np.uint64) % np.uint64(3000))
+    loads, none = np.ones(1 << hpylm.BIN_BITS, np.int64), np.zeros(0, np.int64)
+    distinct, n = np.unique(w, return_counts=True)
+    plain, known = (hpylm.Layout(loads, none.view(np.uint64), none, 3, k) for k in (None, distinct[n > 20]))
+    size = np.full(200, 100)
+    (a, order), (b, order2) = (hpylm.request(w, size, np.ones(len(w)), layout) for layout in (plain, known))
+    assert (order == order2).all() and [to for to, _ in a] == [to for to, _ in b]
+    assert sum(len(x) for _, x in b) < 0.98 * sum(len(x) for _, x in a)
+    for (_, x), (_, y) in zip(a, b):
+        built = [hpylm.Part.build([blob], layout) for blob, layout in ((x, plain), (y, known))]
+        assert built[0][0].blob() == built[1][0].blob()
+        for left, right in zip((*built[0][1], *built[0][2]), (*built[1][1], *built[1][2])):
+            assert (left == right).all()
+
+
 def test_seating_keeps_customers_and_predicts_a_distribution():
     rng = np.random.default_rng(3)
     w = text.mix(np.minimum(rng.zipf(1.5, 4000), 60).astype(np.uint64))
