@@ -335,6 +335,33 @@ def test_every_shared_run_of_51_words_is_linked(spark):
                 assert x.n_equal == len(a) and short[x.doc_id] & short[x.other_id]
 
 
+def test_every_window_of_30_words_is_matched_with_its_first_holder(spark):
+    """Runs of 30 words and more, whose parts other documents hold too: each window against its first holder by brute force."""
+    r = random.Random(8)
+    pool = [f"w{i}" for i in range(300)]
+    docs = {}
+    for i in range(60):
+        out = []
+        for _ in range(r.randrange(1, 4)):
+            at, n = r.randrange(250), r.choice([12, 18, 24, 29, 30, 31, 36, 45])
+            out += pool[at : at + n] + [f"x{r.randrange(10**9)}" for _ in range(r.randrange(0, 30))]
+        docs[i] = out
+    docs[60] = pool[:40] + docs[59] + ["and"] * 70  # the same word again and again
+    docs[61] = ["and"] * 45 + docs[60]
+    rows = chaining.passages(frame(spark, [(i, " ".join(w), "en", "s", 0, 1.0, 7, "r", 3, "p", True) for i, w in docs.items()])).collect()
+    found = defaultdict(list)
+    for x in rows:
+        found[x.doc_id, x.other_id].append((x.first_word, x.last_word))
+    holder, n = {}, 0
+    for i, w in docs.items():
+        for at in range(len(w) - 29):
+            first = holder.setdefault(tuple(w[at : at + 30]), i)
+            if first != i:
+                n += 1
+                assert any(a <= at and at + 29 <= b for a, b in found[i, first]), (i, at, first)
+    assert n > 300 and len(rows) == len(set(rows))
+
+
 def test_minimizers_are_the_first_least_of_each_window():
     r = np.random.default_rng(4)
     for n, w in ((1, 1), (8, 8), (50, 7), (300, 22), (300, 8)):
