@@ -362,6 +362,59 @@ def test_every_window_of_30_words_is_matched_with_its_first_holder(spark):
     assert n > 300 and len(rows) == len(set(rows))
 
 
+def edited(words, r, every):
+    """words with a new one in place of one of every so many."""
+    return [f"y{r.randrange(10**9)}" if k % every == every // 2 else w for k, w in enumerate(words)]
+
+
+def test_other_holders_hide_no_edited_passage(spark):
+    """Documents 11 and 22 hold a passage of runs of 11 words between edits; those before and in between hold each of its runs alone."""
+    r = random.Random(4)
+    noise = lambda n: [f"n{r.randrange(10**9)}" for _ in range(n)]
+    pool = [f"p{i}" for i in range(72)]
+    docs = {11: noise(20) + edited(pool, r, 12) + noise(25), 22: noise(30) + edited(pool, r, 12)}
+    for i in range(10):
+        docs[i + 1], docs[i + 12] = (noise(20) + pool[6 * i : 6 * i + 18] + noise(20) for _ in range(2))
+    rows = [(i, " ".join(w), "en", "s", 0, 1.0, 7, "r", 3, "p", True) for i, w in docs.items()]
+    got = chaining.passages(frame(spark, rows)).collect()
+    assert any(x.first_word <= 36 and x.last_word >= 95 and x.n_equal >= 60 for x in got if (x.doc_id, x.other_id) == (22, 11))
+
+
+@pytest.mark.parametrize("block, at_once", [(1 << 14, 1 << 15), (8, 16)])
+def test_every_edited_passage_is_linked(spark, monkeypatch, block, at_once):
+    """Every pair of documents with a passage around a seed, of all pairs of its holders: a row of the two, or windows of 30 words that both have."""
+    monkeypatch.setattr(chaining, "BLOCK", block)
+    monkeypatch.setattr(chaining, "AT_ONCE", at_once)
+    monkeypatch.setattr(chaining, "SMALL", 4)
+    r = random.Random(block)
+    pool = [f"w{i}" for i in range(120)]
+    docs = {}
+    for i in range(60):
+        out = []
+        for _ in range(r.randrange(1, 3)):
+            at, n = r.randrange(80), r.choice([12, 18, 25, 40])
+            out += edited(pool[at : at + n], r, r.choice([9, 13, 17, 60])) + [f"x{r.randrange(10**9)}" for _ in range(r.randrange(3, 20))]
+        docs[i] = out + [f"z{r.randrange(10**9)}" for _ in range(max(0, 30 - len(out)))]
+    docs[60] = docs[7]  # the same text again
+    found = chaining.passages(frame(spark, [(i, " ".join(w), "en", "s", 0, 1.0, 7, "r", 3, "p", True) for i, w in docs.items()])).collect()
+    rows = {(x.doc_id, x.other_id) for x in found}
+    holders, short, windows = defaultdict(list), {}, {}
+    for i, w in docs.items():
+        (_, offsets, h), = text.words(pa.array([" ".join(w)]), lower=True)
+        short[i] = (h >> np.uint64(48)).astype("<u2").tolist()
+        windows[i] = {tuple(w[k : k + 30]) for k in range(len(w) - 29)}
+        for place, seed in zip(*[x.tolist() for x in chaining.minimizers(offsets, h)[1:]]):
+            holders[seed].append((i, place))
+    n = 0
+    for places in holders.values():
+        for (a, x), (b, y) in ((p, q) for p in places for q in places if q[0] < p[0]):
+            s, e, t, f, equal = chaining.align(short[a], short[b], x, y)
+            if equal >= 30 and equal >= 0.8 * max(e - s, f - t) and not windows[a] & windows[b]:
+                n += 1
+                assert (a, b) in rows or (a == 60 and (7, b) in rows | {(q, p) for p, q in rows}), (a, b)
+    assert n > 10
+
+
 def test_minimizers_are_the_first_least_of_each_window():
     r = np.random.default_rng(4)
     for n, w in ((1, 1), (8, 8), (50, 7), (300, 22), (300, 8)):
